@@ -1,6 +1,6 @@
 """The queries of this folder and their SQL."""
 
-from . import packing, sharding, topk
+from . import fingerprints, packing, sharding, topk
 
-QUERIES = {"op4_sharding": sharding.op4_sharding, "op5_packing": packing.op5_packing, "op6_topk": topk.op6_topk}
+QUERIES = {"op4_sharding": sharding.op4_sharding, "op5_packing": packing.op5_packing, "op6_topk": topk.op6_topk, "op9_fingerprints": fingerprints.op9_fingerprints}
 ORACLES: dict = {"op6_topk": topk.OP6_SQL}
