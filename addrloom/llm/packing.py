@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,22 +23,76 @@ PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequ
 FIELDS = [f.split()[0] for f in PIECE.split(", ")]
 
 
+def stem_of(word: str) -> tuple[str, str]:
+    """(stem, tail) so that a lower-casing word tokenizer gives the stem's ids and then the tail's: tail is '', ',' or '.'.
+
+    Only for letters and one mark behind them, where the cut is a token's border; case is folded where it is plain.
+    """
+    tail = word[-1:]
+    if tail in (",", ".") and word[:-1].isalpha():
+        stem = word[:-1]
+    elif word.isalpha():
+        stem, tail = word, ""
+    else:
+        return word, ""
+    return (stem.lower() if max(stem) < "\u0130" else stem), tail
+
+
 @functools.lru_cache(maxsize=4)
-def word_encoder(path: str, limit: int = 250_000):
-    """text -> little-endian unsigned 32-bit ids of a tokenizer file whose pieces never hold white space.
+def word_encoder(path: str, limit: int = 600_000):
+    """texts -> little-endian unsigned 32-bit ids of each, by a lower-casing tokenizer file whose pieces never hold white space.
 
     Such a tokenizer treats the runs between spaces and line ends apart, so each distinct run is encoded once and kept
-    in a bounded cache.
+    in a bounded cache; runs that differ in case or a last comma or stop share their stem's ids.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
+    from array import array
+
     from tokenizers import Tokenizer
 
     from .words import WordCache
 
     tokenizer = Tokenizer.from_file(path)
-    kept = WordCache(lambda words: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], limit)
-    return lambda text: b"".join(kept(text.replace("\n", " ").split(" ")))
+    width = array("I").itemsize
+    if width != 4 or array("I", [1]).tobytes()[0] != 1:
+        raise RuntimeError("ids are written as this machine's 32-bit integers, which must be little-endian")
+    encode = lambda words: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    tails = dict(zip(["", ",", "."], encode(["", ",", "."]), strict=True))
+
+    def of_new(words: list[str]) -> list[bytes]:
+        cut = [stem_of(w) for w in words]
+        unknown = {stem for stem, _ in cut}.difference(kept.young)
+        known = {stem: kept.old[stem] for stem in unknown if stem in kept.old}
+        unknown = list(unknown.difference(known))
+        known.update(zip(unknown, encode(unknown), strict=True))
+        kept.young.update((stem, ids) for stem, ids in known.items() if len(stem) <= kept.max_chars)
+        return [(known[stem] if stem in known else kept.young[stem]) + tails[tail] for stem, tail in cut]
+
+    kept = WordCache(of_new, limit)
+
+    def encode_texts(texts: list[str]) -> list[bytes]:
+        runs = [text.replace("\n", " ").split(" ") for text in texts]
+        found, at, out = kept(list(chain.from_iterable(runs))), 0, []
+        for own in runs:
+            out.append(b"".join(found[at : at + len(own)]))
+            at += len(own)
+        return out
+
+    return encode_texts
+
+
+def grouped(batch, most_chars: int = 400_000):
+    """Lists of (id, text) of an Arrow batch (id, text) with about most_chars characters each; a null text is ''."""
+    rows, held = [], 0
+    for key, text in zip(batch.column(0), batch.column(1), strict=True):
+        text = text.as_py() or ""
+        rows.append((key.as_py(), text))
+        held += len(text)
+        if held >= most_chars:
+            yield rows
+            rows, held = [], 0
+    if rows:
+        yield rows
 
 
 class Packer:
@@ -125,10 +180,11 @@ def _pack_partition(path: str, end_id: int, settings: tuple, batch_tokens: int =
         part, packer, end = TaskContext.get().partitionId(), Packer(*settings), end_id.to_bytes(4, "little")
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                packer.add(doc_id, 0, ids, len(ids) // 4)
-                held += len(ids) // 4
+            for rows in grouped(batch):
+                for (doc_id, _), ids in zip(rows, encode([text for _, text in rows]), strict=True):
+                    ids += end
+                    packer.add(doc_id, 0, ids, len(ids) // 4)
+                    held += len(ids) // 4
                 if held > batch_tokens:
                     yield packer.batch(part, 0)
                     held = 0
