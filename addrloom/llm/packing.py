@@ -81,7 +81,7 @@ def word_encoder(path: str, limit: int = 600_000):
     return encode_texts
 
 
-def grouped(batch, most_chars: int = 400_000):
+def grouped(batch, most_chars: int = 100_000):
     """Lists of (id, text) of an Arrow batch (id, text) with about most_chars characters each; a null text is ''."""
     rows, held = [], 0
     for key, text in zip(batch.column(0), batch.column(1), strict=True):
