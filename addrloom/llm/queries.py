@@ -1,6 +1,6 @@
 """The queries of this folder and their SQL."""
 
-from . import fingerprints, ngram_join, packing, sharding, topk
+from . import fingerprints, ngram_join, packing, quality, sharding, topk, toxicity
 
-QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join, "op4_sharding": sharding.op4_sharding, "op5_packing": packing.op5_packing, "op6_topk": topk.op6_topk, "op9_fingerprints": fingerprints.op9_fingerprints}
+QUERIES = {"op1_ngram_join": ngram_join.op1_ngram_join, "op2_quality": quality.op2_quality, "op3_toxicity": toxicity.op3_toxicity, "op4_sharding": sharding.op4_sharding, "op5_packing": packing.op5_packing, "op6_topk": topk.op6_topk, "op9_fingerprints": fingerprints.op9_fingerprints}
 ORACLES: dict = {"op6_topk": topk.OP6_SQL}
