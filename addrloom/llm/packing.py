@@ -39,7 +39,7 @@ def stem_of(word: str) -> tuple[str, str]:
 
 
 @functools.lru_cache(maxsize=4)
-def word_encoder(path: str, limit: int = 600_000):
+def word_encoder(path: str, limit: int = 800_000):
     """texts -> little-endian unsigned 32-bit ids of each, by a lower-casing tokenizer file whose pieces never hold white space.
 
     Such a tokenizer treats the runs between spaces and line ends apart, so each distinct run is encoded once and kept
@@ -58,13 +58,26 @@ def word_encoder(path: str, limit: int = 600_000):
         raise RuntimeError("ids are written as this machine's 32-bit integers, which must be little-endian")
     encode = lambda words: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
     tails = dict(zip(["", ",", "."], encode(["", ",", "."]), strict=True))
+    ends = frozenset(i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>"))
+
+    def encode_stems(stems: list[str]) -> list[bytes]:
+        """Runs of letters are one word each, which ends at its only word-end piece: they are encoded as one text."""
+        letters = [w for w in stems if w.isalpha()]
+        ids = tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids if letters else []
+        data, stops = array("I", ids).tobytes(), [4 * i + 4 for i, x in enumerate(ids) if x in ends]
+        if len(stops) != len(letters):
+            return encode(stems)
+        found = dict(zip(letters, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        others = [w for w in stems if w not in found]
+        found.update(zip(others, encode(others), strict=True))
+        return [found[w] for w in stems]
 
     def of_new(words: list[str]) -> list[bytes]:
         cut = [stem_of(w) for w in words]
         unknown = {stem for stem, _ in cut}.difference(kept.young)
         known = {stem: kept.old[stem] for stem in unknown if stem in kept.old}
         unknown = list(unknown.difference(known))
-        known.update(zip(unknown, encode(unknown), strict=True))
+        known.update(zip(unknown, encode_stems(unknown), strict=True))
         kept.young.update((stem, ids) for stem, ids in known.items() if len(stem) <= kept.max_chars)
         return [(known[stem] if stem in known else kept.young[stem]) + tails[tail] for stem, tail in cut]
 
