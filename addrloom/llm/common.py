@@ -109,3 +109,19 @@ def numpy():
     import numpy
 
     return numpy
+
+
+BITMAP_WORDS = 1 << 17  # of 64 bits: 1 MB, however many keys there are
+
+
+def only_near(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose long `key` may be among wanted's only column: a bitmap of fixed size, broadcast, drops most others.
+
+    False positives pass, so join with wanted afterwards; what it saves is the shuffle of rows that cannot match.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS * 64))
+    bits = wanted.select(place(F.col(wanted.columns[0])).alias("_b")).groupBy(F.floor(F.col("_b") / 64).alias("_word"))
+    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(_b % 64 as int))")).alias("_bits"))
+    rows = df.withColumn("_b", place(F.col(key))).withColumn("_word", F.floor(F.col("_b") / 64))
+    rows = rows.join(F.broadcast(bits), "_word").where("(shiftrightunsigned(_bits, cast(_b % 64 as int)) & 1L) = 1L")
+    return rows.drop("_b", "_word", "_bits")

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_NGRAMS = 1_500_000
-BITMAP_WORDS = 1 << 17  # of 64 bits: 1 MB
 SETS = "doc_id long, n long, hi long, lo long, sigs array<long>"
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
@@ -284,7 +283,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     with nothing (component_id = doc_id). Equal sets always link. Repeated ids give a row each. Other columns are
     ignored. No rows: no rows. Shingles are compared by 64-bit hashes.
     """
-    from .common import materialize, star_fold
+    from .common import materialize, only_near, star_fold
 
     plain = docs.select(F.col("doc_id").cast("long"), F.encode(F.col("text"), "UTF-8").alias("text"))
     sets = materialize(plain.mapInArrow(_sets_of(n, threshold), SETS), "sets")
@@ -300,11 +299,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     wanted = wanted.join(weight, "block").withColumn("parts", F.ceil(F.col("w") / block_ngrams).cast("long"))
     wanted = materialize(wanted.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).drop("w"), "wanted")
 
-    # the texts of those sets; the bitmap has BITMAP_WORDS rows at most
-    word = lambda key: F.pmod(F.xxhash64(key), F.lit(BITMAP_WORDS * 64))
-    bits = wanted.select(word("key").alias("b")).groupBy(F.floor(F.col("b") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
-    near = plain.withColumn("b", word("doc_id")).withColumn("word", F.floor(F.col("b") / 64))
-    near = near.join(F.broadcast(bits), "word").where("(shiftrightunsigned(bits, cast(b % 64 as int)) & 1L) = 1L").select(F.col("doc_id").alias("key"), "text")
+    # the texts of those sets
+    near = only_near(plain.withColumnRenamed("doc_id", "key"), "key", wanted.select("key"))
     members = near.join(wanted, "key").select("key", "hi", "lo", "n", "text", "block", "part", "parts")
     members = materialize(members, "members")
 
