@@ -25,14 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/addrloom/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table that materialize has written: call it once the results that read them have been stored."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -114,12 +125,12 @@ def numpy():
 BITMAP_WORDS = 1 << 17  # of 64 bits: 1 MB, however many keys there are
 
 
-def only_near(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def only_near(df: DataFrame, key: str, wanted: DataFrame, words: int = BITMAP_WORDS) -> DataFrame:
     """The rows of df whose long `key` may be among wanted's only column: a bitmap of fixed size, broadcast, drops most others.
 
     False positives pass, so join with wanted afterwards; what it saves is the shuffle of rows that cannot match.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS * 64))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
     bits = wanted.select(place(F.col(wanted.columns[0])).alias("_b")).groupBy(F.floor(F.col("_b") / 64).alias("_word"))
     bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(_b % 64 as int))")).alias("_bits"))
     rows = df.withColumn("_b", place(F.col(key))).withColumn("_word", F.floor(F.col("_b") / 64))

@@ -34,9 +34,12 @@ def probes(edits: int):
                 yield less, i, offset
 
 
-def signatures(line: Column, edits: int) -> Column:
-    """Array of (sig, own): own ones index the line, the others look for shorter or shifted lines."""
-    out, size = [], F.char_length(line)
+def signatures(line: Column, size: Column, edits: int) -> Column:
+    """Longs whose last bit says own: these index the line, the others look for shorter or shifted lines. size: its length.
+
+    Pass plain columns: both are referred to many times.
+    """
+    out = []
     for less, i, offset in probes(edits):
         whole = size - F.lit(less)
         base, longer = F.floor(whole / (edits + 1)).cast("int"), (whole % (edits + 1)).cast("int")
@@ -46,7 +49,7 @@ def signatures(line: Column, edits: int) -> Column:
         width = base + F.when(F.lit(i) >= short, 1).otherwise(0)
         sig = F.xxhash64(whole, F.lit(i), F.substr(line, start + 1, width))
         fits = (start >= 0) & (start + width <= size)
-        out.append(F.struct(F.when(fits, sig).alias("sig"), F.lit(less == 0 and offset == 0).alias("own")))
+        out.append(F.when(fits, sig.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(less == 0 and offset == 0)))))
     return F.array(*out)
 
 
@@ -100,7 +103,9 @@ def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFr
     if edits < 1:
         raise ValueError("edits must be 1 or more; equal lines need no join")
     keyed = lines.select(F.xxhash64("line").alias("id"), "line")
-    signed = keyed.select("id", F.inline(signatures(F.col("line"), edits))).where("sig is not null")
+    sized = keyed.withColumn("size", F.char_length("line"))
+    signed = sized.select("id", F.explode(signatures(F.col("line"), F.col("size"), edits)).alias("x")).where("x is not null")
+    signed = signed.select("id", F.expr("x & -2L").alias("sig"), F.expr("x & 1L = 1L").alias("own"))
     shared = signed.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own"))
     shared = materialize(shared.where("low < high and own").select("sig"), "segments")
     members = only_near(signed, "sig", shared).join(shared, "sig").groupBy("sig", "id").agg(F.max("own").alias("own"))

@@ -283,7 +283,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     with nothing (component_id = doc_id). Equal sets always link. Repeated ids give a row each. Other columns are
     ignored. No rows: no rows. Shingles are compared by 64-bit hashes.
     """
-    from .common import materialize, only_near, star_fold
+    from .common import BITMAP_WORDS, materialize, only_near, star_fold
 
     plain = docs.select(F.col("doc_id").cast("long"), F.encode(F.col("text"), "UTF-8").alias("text"))
     sets = materialize(plain.mapInArrow(_sets_of(n, threshold), SETS), "sets")
@@ -292,7 +292,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     # candidate blocks: stars over shared signatures
     signed = sets.where("n > 0").select(F.col("hi").alias("id"), F.explode("sigs").alias("sig"))
     shared = signed.groupBy("sig").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).where("leader < _last").select("sig", "leader")
-    stars = signed.join(shared, "sig").where("id <> leader").select(F.col("id").alias("src"), F.col("leader").alias("dst")).distinct()
+    shared = materialize(shared, "shared")
+    stars = only_near(signed, "sig", shared.select("sig"), 2 * BITMAP_WORDS).join(shared, "sig").where("id <> leader").select(F.col("id").alias("src"), F.col("leader").alias("dst")).distinct()
     blocks = star_fold(stars).select(F.col("node").alias("hi"), F.col("component").alias("block"))
     wanted = copies.join(blocks, "hi")
     weight = wanted.groupBy("block").agg(F.sum("n").alias("w"))

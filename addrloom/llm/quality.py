@@ -16,6 +16,7 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 TRAIN_ROWS, BUCKETS, KEEP_AT = 4000, 1024, 0.5
 JUNK, FINE, NONE = 0, 1, 2
@@ -162,19 +163,17 @@ def _score_rows(weights, bias, posteriors):
 
         for batch in batches:
             cast, scores = [], []
-            for text in batch.column(1):
+            for text in batch.column("text"):
                 values, hashed = measures(text.as_py())
                 cast.append(votes(values))
                 scores.append(1 / (1 + math.exp(-float(np.clip(hashed @ weights + bias, -30, 30)))))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(cast, pa.string()), pa.array([posteriors.get(v, 1.0) for v in cast], pa.float64()), pa.array(scores, pa.float64())],
-                names=["doc_id", "votes", "weak_label", "score"],
-            )
+            added = [pa.array(cast, pa.string()), pa.array([posteriors.get(v, 1.0) for v in cast], pa.float64()), pa.array(scores, pa.float64())]
+            yield pa.record_batch([*batch.columns, *added], names=[*batch.schema.names, *ADDED])
 
     return run
 
 
-SCORES = "doc_id long, votes string, weak_label double, score double"
+ADDED = ("votes", "weak_label", "score")
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
@@ -206,9 +205,13 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, votes, weak_label, score) of every row; null, empty and wordless texts have no junk votes."""
-    plain = docs.select(F.col("doc_id").cast("long"), "text")
-    return plain.mapInArrow(_score_rows(model["weights"], model["bias"], model["posteriors"]), SCORES)
+    """docs(text, ...) with votes, weak_label and score for every row, which replace columns of those names.
+
+    Null, empty and wordless texts have no junk votes. Other columns pass through; repeated rows are scored each.
+    """
+    plain = docs.drop(*ADDED)
+    schema = StructType([*plain.schema.fields, StructField("votes", StringType()), StructField("weak_label", DoubleType()), StructField("score", DoubleType())])
+    return plain.mapInArrow(_score_rows(model["weights"], model["bias"], model["posteriors"]), schema)
 
 
 def accepted() -> Column:
@@ -221,4 +224,4 @@ def op2_quality(spark, sf_dir):
     from .common import documents
 
     docs = documents(spark, sf_dir)
-    return score(docs, fit(docs)).withColumn("accepted", accepted())
+    return score(docs.select("doc_id", "text"), fit(docs)).drop("text").withColumn("accepted", accepted())

@@ -17,6 +17,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 TRAIN_ROWS, LEXICON, PREDICT_AT = 20_000, 4000, 0.7
 TREES, DEPTH, RATE, BINS, LEAST = 120, 3, 0.1, 64, 10
@@ -287,9 +288,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score) of every row of docs(doc_id, text): the calibrated probability of being toxic.
+    """docs(text, ...) with `score`, the calibrated probability of being toxic, which replaces a column of that name.
 
-    Null and empty texts are scored from zero features. Repeated rows are scored each; other columns are ignored.
+    Null and empty texts are scored from zero features. Repeated rows are scored each; other columns pass through.
     """
 
     def run(batches):
@@ -303,11 +304,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             if "constant" in model:
                 scores = np.full(batch.num_rows, model["constant"])
             else:
-                x = np.stack([features(t.as_py(), lexicon) for t in batch.column(1)])
+                x = np.stack([features(t.as_py(), lexicon) for t in batch.column("text")])
                 scores = calibrated(model["trees"].predict(x), model["knots"])
-            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    plain = docs.drop("score")
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("score", DoubleType())]))
 
 
 def op3_toxicity(spark, sf_dir):
@@ -315,5 +317,5 @@ def op3_toxicity(spark, sf_dir):
     from .common import documents, read_table
 
     docs = documents(spark, sf_dir)
-    scored = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+    scored = score(docs.select("doc_id", "text"), fit(docs, read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
