@@ -5,12 +5,14 @@ held in a trie of those ordered sets; a probe walks it once, sharing the overlap
 sets below, and leaves a subtree when the n-grams that remain cannot reach the needed overlap, or when all of it is in
 the probe's class already, so a group of near copies costs one comparison a member and never all its pairs.
 
-Blocks. A pair at similarity t of sizes up to N differs in at most D = floor(2 N (1 - t) / (1 + t)) n-grams, so of
-D + 2 ranges of the global order at least two hold the same n-grams. Each set emits a signature of every non-empty
-range, for its own band of sizes and for the next (a linked pair lies in one band or two neighbours; sets with two or
-more empty ranges emit those in pairs), and sets that share a signature, chained as stars, make the blocks. A block of
-more than `block_ngrams` n-grams is cut: each part is joined, one set of every class found meets the others', and at
-last all sets outside the largest class meet every part. No link is lost and no task holds more than two parts.
+Blocks. A pair at similarity t of sizes up to N differs in at most D = floor(2 N (1 - t) / (1 + t)) n-grams, so all but
+D of m > D ranges of the global order hold the same n-grams in both. Each set emits a signature of every non-empty
+range, for its own band of sizes and for the next (a linked pair lies in one band or two neighbours); m is D and as many
+more as large sets leave empty, and the rare sets whose equal ranges might all be empty share one more signature. Sets
+of up to SMALL n-grams, or with too few for the ranges, emit the n-grams of their prefix (the first n - ceil(t n) + 1 in the order) instead. Sets that
+share a signature, chained as stars, make the blocks. A block of more than `block_ngrams` n-grams is cut: each part is
+joined, one set of every class found meets the others', and at last all sets outside the largest class meet every part.
+No link is lost and no task holds more than two parts.
 
 Sets that are equal collapse first, by 128 bits of their n-grams. What is shuffled: signatures, ids, and the texts of
 sets that have a partner to meet; a bitmap of fixed size keeps the others out.
@@ -24,7 +26,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_NGRAMS = 1_500_000
+BLOCK_NGRAMS, SMALL = 1_500_000, 40
 SETS = "doc_id long, n long, hi long, lo long, sigs array<long>"
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
@@ -90,6 +92,7 @@ class Bands:
     def __init__(self, threshold: Fraction):
         self.t = threshold
         self.starts = [1]
+        self.cuts: dict[int, int] = {}
 
     def band(self, size: int) -> int:
         import bisect
@@ -98,30 +101,51 @@ class Bands:
             self.starts.append(int(self.starts[-1] / self.t) + 1)
         return bisect.bisect_right(self.starts, size) - 1
 
+    def differ(self, total: int) -> int:
+        """How many n-grams two linked sets with `total` members together may differ in."""
+        return int(total * (1 - self.t) / (1 + self.t))
+
     def ranges(self, band: int) -> int:
-        """How many ranges the sets of a window (larger set in `band`) are cut into; 0: only equal sets can link."""
-        while len(self.starts) <= band + 1:
-            self.starts.append(int(self.starts[-1] / self.t) + 1)
-        differ = int(2 * (self.starts[band + 1] - 1) * (1 - self.t) / (1 + self.t))
-        return differ + 2 if differ else 0
+        """How many ranges the sets of a window (larger set in `band`) are cut into; 0: equal sets only; -1: prefixes.
+
+        Beyond the D ranges that may differ, there are as many more as the largest sets are likely to leave empty.
+        """
+        if band not in self.cuts:
+            while len(self.starts) <= band + 1:
+                self.starts.append(int(self.starts[-1] / self.t) + 1)
+            top = self.starts[band + 1] - 1
+            differ, more = self.differ(2 * top), 1
+            if not differ or top <= SMALL:
+                self.cuts[band] = -1 if differ else 0
+            else:
+                while True:
+                    m = differ + 1 + more
+                    empty = m * (1 - 1 / m) ** top
+                    if more >= empty + 6 * math.sqrt(empty) + 1 or 2 * more > differ:
+                        break
+                    more += 1
+                self.cuts[band] = m if 2 * more <= differ else -1  # few n-grams a range: prefixes
+        return self.cuts[band]
 
     def signatures(self, ordered):
         import numpy as np
 
-        out, band = [], self.band(len(ordered))
+        out, size = [], len(ordered)
+        band = self.band(size)
         for window in (band, band + 1):
             m = self.ranges(window)
-            if not m:
-                continue
-            at = ((ordered >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-            full = at[first]
             salt = np.uint64((window + 1) * _MIX[2] % 2**64)
-            out.append(_mixed(np.add.reduceat(ordered, first) + _mixed(full * np.uint64(_MIX[5]) + salt)))
-            if m - len(full) >= 2:
-                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), full)
-                i, j = np.triu_indices(len(empty), 1)
-                out.append(_mixed(_mixed(empty[i] * np.uint64(_MIX[0]) + salt) + empty[j] * np.uint64(_MIX[1]) + np.uint64(1)))
+            if m < 0:
+                prefix = size - math.ceil(self.t * size) + 1
+                out.append(_mixed(ordered[:prefix] + salt))
+            elif m:
+                at = ((ordered >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+                first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+                full = at[first]
+                out.append(_mixed(np.add.reduceat(ordered, first) + _mixed(full * np.uint64(_MIX[5]) + salt)))
+                partner = min(self.starts[window + 1] - 1, int(size / self.t))
+                if m - len(full) >= m - self.differ(size + partner):  # its equal ranges may all be empty
+                    out.append(_mixed(np.array([salt], np.uint64)))
         return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 

@@ -67,8 +67,8 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def measures(text: str | None):
-    """(labellers' shares, hashed features) of a whole text; no words: all zero."""
+def measures(text: str | None, hashing: bool = True):
+    """(labellers' shares, hashed features) of a whole text; no words, or features not asked for: all zero."""
     import numpy as np
 
     words = (text or "").split()
@@ -86,13 +86,18 @@ def measures(text: str | None):
         counts = np.unique(codes >> 15, return_counts=True)[1]
         values[6] = counts.max() / n
         values[7] = max(0.0, 1 - len(counts) / min(n, 400))
+    if not hashing:
+        return values, hashed
     shapes = np.bincount(codes & (BUCKETS - 1), minlength=BUCKETS)
     hashed += np.sqrt(shapes / n)
-    for name, value in zip(LABELLERS, values, strict=True):
-        hashed[zlib.crc32(f"{name}:{int(math.sqrt(value) * 8)}".encode()) % BUCKETS] += 1
+    for slots, value in zip(_SLOTS, values, strict=True):
+        hashed[slots[int(math.sqrt(value) * 8)]] += 1
     return values, hashed
 
 
+_SLOTS = [[zlib.crc32(f"{name}:{step}".encode()) % BUCKETS for step in range(9)] for name in LABELLERS]
+
+
 def votes(values) -> str:
     return "".join(str(JUNK if v >= junk else FINE if v <= fine else NONE) for v, (fine, junk) in zip(values, LABELLERS.values(), strict=True))
 
@@ -130,23 +135,24 @@ def fit_linear(x, target, prior: float, rounds: int = 400, rate: float = 1.0, ri
     """Logistic weights for soft targets; the intercept is moved from the sample's share of `fine` to the prior."""
     import numpy as np
 
-    weights, bias, momentum = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1)
+    x, target = x.astype(np.float32), target.astype(np.float32)
+    weights, bias, momentum = np.zeros(x.shape[1], np.float32), np.float32(0), np.zeros(x.shape[1] + 1, np.float32)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
         slope = np.append(x.T @ (p - target) / len(x) + ridge * weights, (p - target).mean())
-        momentum = 0.9 * momentum + slope
+        momentum = (0.9 * momentum + slope).astype(np.float32)
         weights -= rate * momentum[:-1]
         bias -= rate * momentum[-1]
     share = min(max(float(target.mean()), 1e-3), 1 - 1e-3)
     prior = min(max(prior, 1e-3), 1 - 1e-3)
-    return weights, bias + math.log(prior / (1 - prior)) - math.log(share / (1 - share))
+    return weights, float(bias) + math.log(prior / (1 - prior)) - math.log(share / (1 - share))
 
 
 def _vote_rows(batches):
     import pyarrow as pa
 
     for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([votes(measures(t.as_py())[0]) for t in batch.column(1)], pa.string())], names=["doc_id", "votes"])
+        yield pa.record_batch([batch.column(0), pa.array([votes(measures(t.as_py(), hashing=False)[0]) for t in batch.column(1)], pa.string())], names=["doc_id", "votes"])
 
 
 def _feature_rows(batches):
@@ -197,7 +203,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     rows = plain.join(F.broadcast(sample), "doc_id").select("doc_id", "text").mapInArrow(_feature_rows, "doc_id long, features array<float>").join(F.broadcast(sample), "doc_id")
     got = rows.orderBy("doc_id").limit(train_rows).toArrow()  # train_rows * BUCKETS floats at most
     if got.num_rows:
-        x = np.stack([np.array(f, np.float32) for f in got.column("features").to_pylist()])
+        x = np.concatenate([c.flatten().to_numpy() for c in got.column("features").chunks]).reshape(got.num_rows, BUCKETS)
         weights, bias = fit_linear(x, np.array([posteriors[v] for v in got.column("votes").to_pylist()]), model["prior"])
     else:
         weights, bias = np.zeros(BUCKETS), 10.0

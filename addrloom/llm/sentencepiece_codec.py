@@ -28,7 +28,7 @@ _STANDIN = "\ue000"  # a private character in place of a mark that the text itse
 class Codec:
     """Encoder and decoder of one model file; ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 450_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
