@@ -26,6 +26,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .words import take_over
+
 BLOCK_NGRAMS, SMALL = 1_500_000, 40
 SETS = "doc_id long, n long, hi long, lo long, sigs array<long>"
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
@@ -34,7 +36,7 @@ _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
 class _WordHash(dict):
     """bytes -> 64-bit hash; forgets everything after `limit` words."""
 
-    limit = 400_000
+    limit = 300_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -154,6 +156,7 @@ def _sets_of(n: int, threshold: Fraction):
         import numpy as np
         import pyarrow as pa
 
+        take_over("n-grams", _hashes.clear)
         bands = Bands(threshold)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -274,6 +277,7 @@ def _join_block(n: int, threshold: Fraction):
     def run(table):
         import pyarrow as pa
 
+        take_over("n-grams", _hashes.clear)
         trie, seen, late = Trie(threshold), set(), []
         cols = [table.column(c) for c in ("key", "hi", "lo", "text", "label", "role")]
         for key, hi, lo, text, label, role in zip(*cols, strict=True):

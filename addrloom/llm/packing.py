@@ -18,6 +18,8 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import WordCache, take_over
+
 WINDOW, OPEN_WINDOWS, MAX_GAP, FAN_IN, END_ID = 4096, 64, 16, 64, 2
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, leftover boolean, part long"
 FIELDS = [f.split()[0] for f in PIECE.split(", ")]
@@ -39,7 +41,7 @@ def stem_of(word: str) -> tuple[str, str]:
 
 
 @functools.lru_cache(maxsize=4)
-def word_encoder(path: str, limit: int = 800_000):
+def word_encoder(path: str, limit: int = 600_000):
     """texts -> little-endian unsigned 32-bit ids of each, by a lower-casing tokenizer file whose pieces never hold white space.
 
     Such a tokenizer treats the runs between spaces and line ends apart, so each distinct run is encoded once and kept
@@ -50,8 +52,6 @@ def word_encoder(path: str, limit: int = 800_000):
 
     from tokenizers import Tokenizer
 
-    from .words import WordCache
-
     tokenizer = Tokenizer.from_file(path)
     width = array("I").itemsize
     if width != 4 or array("I", [1]).tobytes()[0] != 1:
@@ -189,6 +189,7 @@ def _pack_partition(path: str, end_id: int, settings: tuple, batch_tokens: int =
     def run(batches):
         from pyspark import TaskContext
 
+        take_over("packing", word_encoder.cache_clear)
         encode = word_encoder(path)
         part, packer, end = TaskContext.get().partitionId(), Packer(*settings), end_id.to_bytes(4, "little")
         held = 0

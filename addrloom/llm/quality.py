@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .words import take_over
+
 TRAIN_ROWS, BUCKETS, KEEP_AT = 4000, 1024, 0.5
 JUNK, FINE, NONE = 0, 1, 2
 #: name: (fine up to, junk from) of a share between 0 and 1
@@ -47,16 +49,25 @@ def shape(word: str) -> str:
 class _Codes(dict):
     """word -> 10 bits of its shape's bucket, 5 flags, 45 bits of its hash; forgets everything after `limit` words."""
 
-    limit = 300_000
+    limit = 250_000
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
+        core = word.rstrip(".,;:!?")
+        if core.isalpha():  # most words
+            capital, tail = core.upper() == core, word[len(core) :]
+            flags = (len(core) >= 2 and capital) << 1 | (tail.endswith(("!!", "??"))) << 2
+            pattern = ("A" if capital else "a") + (_RUN.sub(r"\1+", tail) if tail else "")
+            return self.keep(word, xxhash.xxh3_64_intdigest(word), flags, pattern[:12])
         letters = sum(map(str.isalpha, word))
         symbols = sum(1 for c in word if not (c.isalnum() or c in ".,;:!?'\"()-|"))
         flags = (symbols > 0) | (letters >= 2 and word.upper() == word) << 1 | (word.endswith(("!!", "??"))) << 2
         flags |= bool(_TRIPLE.search(word)) << 3 | (word in _BARS) << 4
-        code = (xxhash.xxh3_64_intdigest(word) >> 19) << 15 | int(flags) << 10 | zlib.crc32(shape(word).encode()) % BUCKETS
+        return self.keep(word, xxhash.xxh3_64_intdigest(word), int(flags), shape(word))
+
+    def keep(self, word: str, digest: int, flags: int, pattern: str) -> int:
+        code = (digest >> 19) << 15 | flags << 10 | zlib.crc32(pattern.encode()) % BUCKETS
         if len(word) <= 60:
             if len(self) >= self.limit:
                 self.clear()
@@ -151,6 +162,7 @@ def fit_linear(x, target, prior: float, rounds: int = 400, rate: float = 1.0, ri
 def _vote_rows(batches):
     import pyarrow as pa
 
+    take_over("quality", _codes.clear)
     for batch in batches:
         yield pa.record_batch([batch.column(0), pa.array([votes(measures(t.as_py(), hashing=False)[0]) for t in batch.column(1)], pa.string())], names=["doc_id", "votes"])
 
@@ -158,6 +170,7 @@ def _vote_rows(batches):
 def _feature_rows(batches):
     import pyarrow as pa
 
+    take_over("quality", _codes.clear)
     for batch in batches:
         yield pa.record_batch([batch.column(0), pa.array([measures(t.as_py())[1].tolist() for t in batch.column(1)], pa.list_(pa.float32()))], names=["doc_id", "features"])
 
@@ -167,6 +180,7 @@ def _score_rows(weights, bias, posteriors):
         import numpy as np
         import pyarrow as pa
 
+        take_over("quality", _codes.clear)
         for batch in batches:
             cast, scores = [], []
             for text in batch.column("text"):

@@ -19,6 +19,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import WordCache, take_over
+
 MARK = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 2
 _UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -99,8 +101,6 @@ class Codec:
     def encode_texts(self, texts: list[str], seed: int = 0, variant: int = 0, dropout: float = 0.0) -> list[bytes]:
         from itertools import chain
 
-        from .words import WordCache
-
         key = (seed, variant, dropout)
         if key not in self.caches:
             self.caches[key] = WordCache(lambda units: [self.ids_of(self.segment(u, seed, variant, dropout)) for u in units], self.limit)
@@ -156,6 +156,7 @@ def _encode_rows(path: str, dropout: float, seed: int, variants: int):
 
         from .packing import grouped
 
+        take_over("sentencepiece", codec.cache_clear)
         own = codec(path)
         for batch in batches:
             for rows in grouped(batch):

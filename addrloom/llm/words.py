@@ -3,6 +3,20 @@
 from __future__ import annotations
 
 
+_holder: list = [None, None]
+
+
+def take_over(name: str, clear) -> None:
+    """Say that this worker process now serves operator `name`, whose caches `clear` empties.
+
+    Workers are used again by later jobs: when another operator takes over, the caches of the one before are emptied,
+    so that a process holds one operator's words at a time.
+    """
+    if _holder[0] not in (None, name):
+        _holder[1]()
+    _holder[:] = [name, clear]
+
+
 class WordCache:
     """Two generations of at most `limit` words each: words seen again move to the young one, the old one is dropped.
 
