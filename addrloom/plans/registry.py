@@ -1,4 +1,133 @@
 """Named queries over the driver's tables, each with the SQL that must give the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import records as R
+
+PENALTIES = {"SMALL": 0.05, "LARGE": 0.2, "CHEAP": 0.0}
+_SQL_NORM = "trim(regexp_replace(strip_accents(replace(replace(lower(coalesce({0}, '')), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9]+', ' ', 'g'))"
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"SELECT doc_id, {_SQL_NORM.format('text')} AS norm FROM documents")
+def norm_text(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.norm(F.col("text")).alias("norm"))
+
+
+@query(f"SELECT p_partkey, replace({_SQL_NORM.format('p_name')}, ' ', '') AS compact FROM part")
+def compact_key(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select("p_partkey", T.compact(F.col("p_name")).alias("compact"))
+
+
+@query(f"SELECT norm, min(doc_id) AS first, count(*) AS copies FROM (SELECT doc_id, {_SQL_NORM.format('text')} AS norm FROM documents) GROUP BY norm")
+def dedupe_first(spark, sf_dir):
+    return R.first_of_key(norm_text(spark, sf_dir), "norm", "doc_id")
+
+
+@query(f"""WITH k AS (SELECT doc_id, {_SQL_NORM.format('text')} AS norm FROM documents)
+SELECT doc_id, CASE WHEN norm = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY norm) END AS first,
+  norm = '' OR doc_id = min(doc_id) OVER (PARTITION BY norm) AS is_first FROM k""")
+def dup_pointer(spark, sf_dir):
+    return R.pointed(norm_text(spark, sf_dir), "norm", "doc_id").select("doc_id", "first", "is_first")
+
+
+@query(r"""WITH f AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '(?:\+?84|0)[0-9 .\-]{8,13}'),
+  lambda x: regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^84', '0')) AS found FROM documents)
+SELECT doc_id, list_filter(found, lambda d: d[1] = '0' AND len(d) BETWEEN 10 AND 11)[1] AS phone FROM f
+WHERE len(list_filter(found, lambda d: d[1] = '0' AND len(d) BETWEEN 10 AND 11)) > 0""")
+def phone_extract(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.first_phone(F.col("text")).alias("phone")).where("phone is not null")
+
+
+@query("SELECT a.doc_id, b.n FROM documents a JOIN (SELECT lower(text) AS k, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) b ON lower(a.text) = b.k WHERE a.doc_id % 2 = 1")
+def cache_hit(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("k"))
+    cache = docs.where("doc_id % 2 = 0").groupBy("k").agg(F.count("*").alias("n"))
+    return R.split_by_cache(docs.where("doc_id % 2 = 1"), cache, "k")[0].select("doc_id", "n")
+
+
+@query("SELECT a.doc_id FROM documents a WHERE a.doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 0 AND lower(a.text) = lower(b.text))")
+def cache_miss(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("k"))
+    cache = docs.where("doc_id % 2 = 0").select("k").distinct()
+    return R.split_by_cache(docs.where("doc_id % 2 = 1"), cache, "k")[1].select("doc_id")
+
+
+@query("""SELECT user_id, arg_max(value, event_id) FILTER (WHERE value > 5) AS value, arg_max(event_type, event_id) AS event_type, count(*) AS n
+FROM events GROUP BY user_id""")
+def directory_learn(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").withColumn("value", F.expr("case when value > 5 then value end"))
+    return R.fold_last(rows, "user_id", "event_id", ["value", "event_type"])
+
+
+@query("""SELECT c_mktsegment, min(n_regionkey) AS n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+GROUP BY 1 HAVING count(DISTINCT n_regionkey) = 1
+UNION ALL SELECT n_name, n_regionkey FROM nation""")
+def infer_parent_unique(spark, sf_dir):
+    nation = _read(spark, sf_dir, "nation")
+    named = _read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = named.select("c_mktsegment", "n_regionkey").union(nation.select("n_name", "n_regionkey"))
+    return R.unique_parent(rows, "c_mktsegment", "n_regionkey")
+
+
+@query("SELECT a.n_name AS l, b.n_name AS r, levenshtein(a.n_name, b.n_name)::INTEGER AS distance FROM nation a JOIN nation b ON levenshtein(a.n_name, b.n_name) <= 1 AND a.n_name[1] = b.n_name[1]")
+def fuzzy_blocked_join(spark, sf_dir):
+    names = _read(spark, sf_dir, "nation").select("n_name")
+    return R.fuzzy_pairs(names.toDF("l"), names.toDF("r"), 1)
+
+
+_FLAGS = "list_filter([CASE WHEN p_size < 10 THEN 'SMALL' END, CASE WHEN p_size > 40 THEN 'LARGE' END, CASE WHEN p_retailprice < 950 THEN 'CHEAP' END, CASE WHEN p_partkey % 7 = 0 THEN 'OTHER' END], lambda x: x IS NOT NULL)"
+
+
+def _flagged(spark, sf_dir):
+    flags = F.array(*[F.when(F.expr(c), F.lit(n)) for c, n in (("p_size < 10", "SMALL"), ("p_size > 40", "LARGE"), ("p_retailprice < 950", "CHEAP"), ("p_partkey % 7 = 0", "OTHER"))])
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_compact(flags).alias("flags"))
+
+
+@query(f"""SELECT p_partkey, round(greatest(0.0::DOUBLE, 1.0::DOUBLE - list_sum(list_concat([0.0::DOUBLE], list_transform({_FLAGS},
+  lambda f: CASE f WHEN 'SMALL' THEN 0.05::DOUBLE WHEN 'LARGE' THEN 0.2::DOUBLE WHEN 'CHEAP' THEN 0.0::DOUBLE ELSE 0.03::DOUBLE END)))), 3) AS score FROM part""")
+def flag_score(spark, sf_dir):
+    return _flagged(spark, sf_dir).select("p_partkey", R.flag_score(F.col("flags"), PENALTIES).alias("score"))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN list_contains({_FLAGS}, 'LARGE') THEN 'SEND_LLM' WHEN list_contains({_FLAGS}, 'OTHER') THEN 'REVIEW_MANUAL'
+  WHEN list_contains({_FLAGS}, 'SMALL') THEN 'ACCEPT_RULE_WITH_FLAGS' ELSE 'ACCEPT_RULE' END AS route FROM part""")
+def route_class(spark, sf_dir):
+    has = lambda f: F.array_contains("flags", f)
+    route = F.when(has("LARGE"), "SEND_LLM").when(has("OTHER"), "REVIEW_MANUAL").when(has("SMALL"), "ACCEPT_RULE_WITH_FLAGS").otherwise("ACCEPT_RULE")
+    return _flagged(spark, sf_dir).select("p_partkey", route.alias("route"))
+
+
+@query("SELECT c_custkey, floor((row_number() OVER (ORDER BY c_custkey) - 1) / 5)::BIGINT AS batch FROM customer QUALIFY row_number() OVER (ORDER BY c_custkey) <= 150")
+def batch_assign(spark, sf_dir):
+    return R.batches(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 5, 150)
+
+
+@query("SELECT o_orderpriority AS label, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished FROM orders GROUP BY 1")
+def label_histogram(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+
+
+@query("""SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY o, i) - 1)::BIGINT AS position, kind, value FROM (
+  SELECT p_partkey, 0 AS o, 'words' AS kind, unnest(string_split(p_name, ' ')) AS value, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part
+  UNION ALL SELECT p_partkey, 1, 'brand', p_brand, 1 FROM part)""")
+def component_explode(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"), F.array("p_brand").alias("brand"))
+    return R.components(rows, ["words", "brand"], "p_partkey")
