@@ -9,8 +9,11 @@ Blocks. A pair at similarity t of sizes up to N differs in at most D = floor(2 N
 D of m > D ranges of the global order hold the same n-grams in both. Each set emits a signature of every non-empty
 range, for its own band of sizes and for the next (a linked pair lies in one band or two neighbours); m is D and as many
 more as large sets leave empty, and the rare sets whose equal ranges might all be empty share one more signature. Sets
-of up to SMALL n-grams, or with too few for the ranges, emit the n-grams of their prefix (the first n - ceil(t n) + 1 in the order) instead. Sets that
-share a signature, chained as stars, make the blocks. A block of more than `block_ngrams` n-grams is cut: each part is
+of up to SMALL n-grams, or with too few for the ranges, emit the n-grams of their prefix (the first n - ceil(t n) + 1 in the order) instead.
+
+Documents that merely hold the same passage share a signature now and then. So sets that share many are tied first; a
+signature that still spans several of those ties compares its sets by parity bitmaps of their n-grams (bits that differ
+never outnumber the n-grams that do) and ties only those which may be linked. Ties, chained, make the blocks. A block of more than `block_ngrams` n-grams is cut: each part is
 joined, one set of every class found meets the others', and at last all sets outside the largest class meet every part.
 No link is lost and no task holds more than two parts.
 
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 from .words import take_over
 
 BLOCK_NGRAMS, SMALL = 1_500_000, 40
-SETS = "doc_id long, n long, hi long, lo long, sigs array<long>"
+SETS = "doc_id long, n long, hi long, lo long, bits binary, sigs array<long>"
+STRONG = 8  # sets that share one in so many of their signatures are tied without a look at their bitmaps
+LEAST_BITS, MOST_BITS = 64, 8192
+GROUP_SETS = 20_000  # a signature of more sets ties them all: their blocks are cut and joined exactly
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
 
@@ -88,6 +94,71 @@ def digest(ordered) -> tuple[int, int]:
     return tuple(int(x) for x in np.frombuffer(xxhash.xxh3_128_digest(ordered.tobytes()), "<i8"))
 
 
+def parity_bits(ordered) -> bytes:
+    """Which of 2^k slots hold an odd number of the set's hashes; as many slots as hashes, within the two bounds."""
+    import numpy as np
+
+    slots = min(max(1 << max(len(ordered) - 1, 0).bit_length(), LEAST_BITS), MOST_BITS)
+    odd = np.bincount((ordered & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _tied(ids: list, sizes: list, bits: list, threshold: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest over the sets of one signature whose bitmaps allow a link."""
+    import numpy as np
+
+    width = min(map(len, bits))
+    maps = np.zeros((len(ids), width // 8), np.uint64)
+    for at, own in enumerate(bits):  # a wider bitmap folds to the narrowest
+        maps[at] = np.bitwise_xor.reduce(np.frombuffer(own, np.uint64).reshape(-1, width // 8), axis=0)
+    counts = np.array(sizes, np.int64)
+    up, down = threshold.numerator, threshold.denominator
+    left, out = np.arange(len(ids)), []
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            a = reached.pop()
+            near = np.zeros(len(left), bool)
+            for at in range(0, len(left), 4096):
+                part = left[at : at + 4096]
+                differ = np.bitwise_count(maps[part] ^ maps[a]).sum(axis=1, dtype=np.int64)
+                near[at : at + 4096] = differ * (down + up) <= (counts[part] + counts[a]) * (down - up)
+            found = left[near]
+            out.extend((ids[a], ids[b]) for b in found.tolist())
+            reached.extend(found.tolist())
+            left = left[~near]
+    return out
+
+
+def _ties(threshold: Fraction):
+    """Rows (sig, id, n, bits) in the order of sig to ties (src, dst)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def table(pairs):
+            return pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["src", "dst"])
+
+        sig, ids, sizes, bits, out = None, [], [], [], set()
+        for batch in batches:
+            for s, i, n, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != sig:
+                    if len(ids) > 1:
+                        out.update(_tied(ids, sizes, bits, threshold))
+                        if len(out) > 100_000:
+                            yield table(out)
+                            out = set()
+                    sig, ids, sizes, bits = s, [], [], []
+                ids.append(i)
+                sizes.append(n)
+                bits.append(b)
+        if len(ids) > 1:
+            out.update(_tied(ids, sizes, bits, threshold))
+        yield table(out)
+
+    return run
+
+
 class Bands:
     """Bands of set sizes for a threshold, and the ranges that a set's signatures come from."""
 
@@ -161,17 +232,18 @@ def _sets_of(n: int, threshold: Fraction):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sizes, his, los, sigs = [], [], [], []
+                sizes, his, los, bits, sigs = [], [], [], [], []
                 for text in part.column(1):
                     ordered = ngram_set(text.as_py(), n)
                     hi, lo = digest(ordered)
                     sizes.append(len(ordered))
                     his.append(hi)
                     los.append(lo)
+                    bits.append(parity_bits(ordered))
                     sigs.append(bands.signatures(ordered) if len(ordered) else np.empty(0, np.int64))
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-                yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), lists], names=["doc_id", "n", "hi", "lo", "sigs"])
+                yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(bits, pa.binary()), lists], names=["doc_id", "n", "hi", "lo", "bits", "sigs"])
 
     return run
 
@@ -317,12 +389,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     sets = materialize(plain.mapInArrow(_sets_of(n, threshold), SETS), "sets")
     copies = materialize(sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("key"), F.max("n").alias("n")), "copies")
 
-    # candidate blocks: stars over shared signatures
-    signed = sets.where("n > 0").select(F.col("hi").alias("id"), F.explode("sigs").alias("sig"))
+    # candidate blocks: ties of sets that share signatures
+    signed = sets.where("n > 0").select(F.col("hi").alias("id"), F.size("sigs").alias("own"), F.explode("sigs").alias("sig"))
     shared = signed.groupBy("sig").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).where("leader < _last").select("sig", "leader")
     shared = materialize(shared, "shared")
-    stars = only_near(signed, "sig", shared.select("sig"), 2 * BITMAP_WORDS).join(shared, "sig").where("id <> leader").select(F.col("id").alias("src"), F.col("leader").alias("dst")).distinct()
-    blocks = star_fold(stars).select(F.col("node").alias("hi"), F.col("component").alias("block"))
+    held = only_near(signed, "sig", shared.select("sig"), 2 * BITMAP_WORDS).join(shared, "sig").distinct()
+    held = materialize(held, "held")
+    often = held.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("common"), F.max("own").alias("own"))
+    strong = materialize(often.where(F.col("common") * STRONG >= F.col("own")).select(F.col("id").alias("src"), F.col("leader").alias("dst")), "strong")
+    tied = star_fold(strong).withColumnRenamed("node", "id")
+    spread = held.select("sig", "id").join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spread = spread.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_sets")).where("_a < _b")
+    spread = materialize(spread.select("sig", (F.col("_sets") > GROUP_SETS).alias("wide")), "spread")
+    bitmaps = sets.where("n > 0").groupBy(F.col("hi").alias("id")).agg(F.max("n").alias("n"), F.min("bits").alias("bits"))
+    loose = materialize(held.join(spread.where("not wide").select("sig"), "sig").select("sig", "id"), "loose")
+    loose = loose.join(only_near(bitmaps, "id", loose.select("id")), "id").select("sig", "id", "n", "bits")
+    loose = loose.repartition(F.col("sig")).sortWithinPartitions("sig").mapInArrow(_ties(threshold), "src long, dst long")
+    wide = held.join(spread.where("wide").select("sig"), "sig").select(F.col("id").alias("src"), F.col("leader").alias("dst"))
+    blocks = star_fold(strong.unionAll(loose).unionAll(wide)).select(F.col("node").alias("hi"), F.col("component").alias("block"))
     wanted = copies.join(blocks, "hi")
     weight = wanted.groupBy("block").agg(F.sum("n").alias("w"))
     wanted = wanted.join(weight, "block").withColumn("parts", F.ceil(F.col("w") / block_ngrams).cast("long"))

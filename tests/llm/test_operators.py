@@ -113,3 +113,42 @@ def test_quality_and_toxicity_on_odd_rows(spark, docs):
     assert len(scores) == docs.count() and all(0 <= r.score <= 1 for r in scores)
     assert [c for c in toxicity.score(docs, {"constant": 0.0}).columns if c == "line"] == ["line"]
     assert toxicity.score(docs.withColumn("score", F.lit("x")), {"constant": 0.5}).first().score == 0.5
+
+
+@pytest.mark.parametrize("group", [ngram_join.GROUP_SETS, 2])
+def test_ngram_join_of_shared_passages(spark, monkeypatch, group):
+    """Texts of one long passage and words of their own, some of them near copies, against all pairs."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "GROUP_SETS", group)
+    dice = random.Random(7)
+    passage = [f"p{i}" for i in range(70)]
+    texts = []
+    for i in range(40):
+        own = [f"w{dice.randrange(10**6)}" for _ in range(dice.choice([5, 20, 60, 120]))]
+        texts.append(own[:10] + passage + own[10:])
+        if i % 3 == 0:
+            texts.append([w if dice.random() > 0.01 else "zz" for w in texts[-1]])
+    df = frame(spark, [(i, " ".join(t), 0, "") for i, t in enumerate(texts)])
+    sets = [shingles(" ".join(t), 5) for t in texts]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df, 5, Fraction(4, 5)).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_parity_bits_never_reject_a_link():
+    import numpy as np
+
+    dice = np.random.default_rng(3)
+    for size in (50, 700, 5000):
+        one = np.unique(dice.integers(0, 2**63, size, dtype=np.uint64))
+        for changed in (0, 2, size // 20, size // 9):
+            other = np.unique(np.concatenate((one[changed:], dice.integers(0, 2**63, changed, dtype=np.uint64))))
+            linked = 5 * len(np.intersect1d(one, other)) >= 4 * len(np.union1d(one, other))
+            tied = ngram_join._tied([1, 2], [len(one), len(other)], [ngram_join.parity_bits(one), ngram_join.parity_bits(other)], Fraction(4, 5))
+            assert tied == [(1, 2)] or not linked
