@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import gazetteer as G
 from ..operators import records as R
 
 PENALTIES = {"SMALL": 0.05, "LARGE": 0.2, "CHEAP": 0.0}
@@ -131,3 +132,21 @@ def label_histogram(spark, sf_dir):
 def component_explode(spark, sf_dir):
     rows = _read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"), F.array("p_brand").alias("brand"))
     return R.components(rows, ["words", "brand"], "p_partkey")
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS uid, {_SQL_NORM.format('n_name')} AS b FROM nation)
+SELECT uid, b AS alias, true AS strong FROM n
+UNION ALL SELECT uid, f || ' ' || b, true FROM n, (SELECT unnest(['tinh', 'thanh pho', 'tp', 't p']) AS f)
+UNION ALL SELECT uid, b, false FROM n
+UNION ALL SELECT uid, replace(b, ' ', ''), false FROM n WHERE contains(b, ' ') AND length(b) >= 6""")
+def gazetteer_aliases(spark, sf_dir):
+    return G.aliases(_read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("uid"), F.col("n_name").alias("name"), F.lit("province").alias("kind")))
+
+
+@query(f"""SELECT s_suppkey AS row_id, n_nationkey AS uid, 2 AS score, 3 AS pos, (len(string_split({_SQL_NORM.format('n_name')}, ' ')))::INTEGER AS words
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def gazetteer_match(spark, sf_dir):
+    nation = _read(spark, sf_dir, "nation")
+    text = F.concat(F.lit("Số 7, tỉnh "), F.col("n_name"))
+    rows = _read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("row_id"), text.alias("text"))
+    return G.named_units(rows, gazetteer_aliases(spark, sf_dir))

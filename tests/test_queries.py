@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from addrloom.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "nation customer part orders events documents".split()
+TABLES = "nation supplier customer part orders events documents".split()
 
 
 @pytest.fixture(scope="module")
