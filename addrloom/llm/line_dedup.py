@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EDITS, MIN_CHARS, MOST = 1, 24, 48
+EDITS, MIN_CHARS, MOST = 1, 1, 48
+LINK_CHARS = 12  # of the shorter line, for a link other than equality: below, one edit makes another word
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -97,11 +98,15 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
 
 
 def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFrame:
-    """Links (src, dst) between hashes of different lines within `edits`, enough for the components to be right."""
+    """Links (src, dst) between hashes of different lines within `edits`, enough for the components to be right.
+
+    Both lines of a link have LINK_CHARS characters or more.
+    """
     from .common import materialize, only_near
 
     if edits < 1:
         raise ValueError("edits must be 1 or more; equal lines need no join")
+    lines = lines.where(F.char_length("line") >= max(LINK_CHARS, edits + 1))
     keyed = lines.select(F.xxhash64("line").alias("id"), "line")
     sized = keyed.withColumn("size", F.char_length("line"))
     signed = sized.select("id", F.explode(signatures(F.col("line"), F.col("size"), edits)).alias("x")).where("x is not null")
@@ -137,8 +142,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     """Every line of at least min_chars characters with its class: one row for each line of docs(doc_id, text).
 
     Returns doc_id, line_no, class_doc_id, class_line_no (the class's first line by document id and line number),
-    class_size and kept (it is that line). Lines within `edits` edits link; equal lines always do. Shorter lines, null
-    and empty texts give no rows. Rows that repeat a doc_id are lines of one document: the smallest (doc_id, line_no,
+    class_size and kept (it is that line). Lines within `edits` edits link, where both have LINK_CHARS characters; equal
+    lines of any length always do. Lines under min_chars (1: only empty lines, which part paragraphs), null and empty
+    texts give no rows. Rows that repeat a doc_id are lines of one document: the smallest (doc_id, line_no,
     hash) counts as first, and ties are all kept. Other columns are ignored.
     """
     from .common import materialize, star_fold
@@ -168,7 +174,7 @@ def without_repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def op10_line_dedup(spark, sf_dir):
-    """The classes of all lines of 24 characters and more, one edit apart at most."""
+    """The classes of all lines: equal, or one edit apart at most."""
     from .common import documents
 
     return line_classes(documents(spark, sf_dir))

@@ -90,6 +90,16 @@ def test_lines_one_edit_apart(spark, most):
     assert left == {1: lines[0], 2: lines[3] + "\n" + lines[4], 3: None}
 
 
+def test_every_line_has_a_row(spark):
+    """Short lines go when equal, a 23-character line one edit from a 24-character one too; short ones never by edits."""
+    texts = ["All rights reserved.\nLes.\nDes.\nabcdefghijklmnopqrstuvw", "Les.\n\nabcdefghijklmnopqrstuvwx\nAll rights reserved."]
+    df = frame(spark, [(i, t, 0, "") for i, t in enumerate(texts)])
+    classes = line_dedup.line_classes(df)
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.class_size) for r in classes.collect()}
+    assert got == {(0, 0): (0, 0, 2), (0, 1): (0, 1, 2), (0, 2): (0, 2, 1), (0, 3): (0, 3, 2), (1, 0): (0, 1, 2), (1, 2): (0, 3, 2), (1, 3): (0, 0, 2)}
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(df, classes).collect()} == {0: texts[0], 1: ""}
+
+
 def test_sentencepiece_equals_the_library_and_decodes():
     import sentencepiece
     from array import array
