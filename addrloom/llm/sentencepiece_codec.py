@@ -2,27 +2,33 @@
 
 White space is escaped as the model asks (a mark for each space and one in front), and the text is cut where no piece
 of the model can reach across: before runs of marks and around line ends. Each unit is segmented by an agenda of
-candidate merges, best score first, leftmost on ties; a candidate is skipped for good when a hash keyed by seed,
-variant, unit and place falls below `dropout`. Characters outside the model, and marks that stand in the text itself,
-become byte pieces, so every segmentation decodes to the very text.
-
-The draw depends on the seed, the unit and the document's variant (a hash of its id, `variants` kinds), so units are
-segmented once for each variant and kept in a bounded cache. One map over whole texts; no shuffle.
+candidate merges, best score first, leftmost on ties; each candidate is skipped for good with probability `dropout`.
+Characters outside the model, and marks that stand in the text itself, become byte pieces, so every segmentation
+decodes to the very text.
+
+The draws depend on the seed, the document id and the unit's place in the text, so every occurrence of a unit has its
+own. They are drawn as gaps: how many candidates are kept before the next one is skipped has the geometric law that
+separate draws would give. What a unit becomes depends on its gaps alone, so a bounded cache holds, for each unit, a
+tree of the segmentations that occurred, one branch for each gap; a new branch replays the agenda. One map over whole
+texts; no shuffle.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordCache, take_over
+from .words import take_over
 
 MARK = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 2
+DROPOUT, SEED = 0.1, 17
+SCANNED = 24  # characters of a unit that is segmented without a heap
+MAX_UNIT = 200  # characters; longer units are segmented anew each time
 _UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 _STANDIN = "\ue000"  # a private character in place of a mark that the text itself holds
 
@@ -30,7 +36,7 @@ _STANDIN = "\ue000"  # a private character in place of a mark that the text itse
 class Codec:
     """Encoder and decoder of one model file; ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -47,12 +53,28 @@ class Codec:
             else:
                 self.rank[piece] = (-model.get_score(i), i)
                 self.out.append(piece.replace(MARK, " ").encode())
-        self.limit, self.caches = limit, {}
+        self.score = {piece: score for piece, (score, _) in self.rank.items()}
+        self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache. A node is a unit with the gaps of its skipped candidates; a unit's root has none."""
+        from array import array
+
+        self.root: dict[str, int] = {}
+        self.branch: dict[int, int] = {}  # node << 8 | gap: the node with that gap more
+        self.ids, self.rest = [], array("i")  # of each node: its ids; the candidates after the last skipped one
+        self.parent, self.gap = array("i"), array("i")
 
-    def segment(self, unit: str, seed: int = 0, variant: int = 0, dropout: float = 0.0) -> list[str]:
-        """The pieces (or single characters) that a unit ends as."""
-        import xxhash
+    def segment(self, unit: str, gaps=()) -> tuple[list[str], int]:
+        """The pieces (or single characters) that a unit ends as, and how many candidates came after the last skipped one.
 
+        gaps: how many candidates are kept before each skipped one.
+        """
+        gaps = iter(gaps)
+        if len(unit) <= SCANNED:
+            return self.scanned(unit, gaps)
+        left_to_skip, since = next(gaps, -1), 0
         parts, rank, n = list(unit), self.rank, len(unit)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple] = []
@@ -65,14 +87,16 @@ class Codec:
         for i in range(n - 1):
             offer(i)
         heapq.heapify(agenda)
-        edge = dropout * 2**64
         while agenda:
             _, i, left, right = heapq.heappop(agenda)
             j = after[i] if parts[i] else n
             if j >= n or len(parts[i]) != left or len(parts[j]) != right:
                 continue
-            if edge and xxhash.xxh3_64_intdigest(f"{seed}|{variant}|{i}|{left}|{right}|{unit}") < edge:
+            if left_to_skip == 0:
+                left_to_skip, since = next(gaps, -1), 0
                 continue
+            left_to_skip -= 1
+            since += 1
             parts[i] += parts[j]
             parts[j] = ""
             after[i] = after[j]
@@ -84,7 +108,27 @@ class Codec:
                     offer(k)
                     if len(agenda) > size:
                         heapq._siftdown(agenda, 0, size)
-        return [p for p in parts if p]
+        return [p for p in parts if p], since
+
+    def scanned(self, unit: str, gaps) -> tuple[list[str], int]:
+        """segment by a look at all neighbours for each merge: faster than an agenda where there are few."""
+        parts, score, never = list(unit), self.score.get, math.inf
+        scores = [score(unit[i : i + 2], never) for i in range(len(unit) - 1)]
+        left_to_skip, since = next(gaps, -1), 0
+        while scores and (best := min(scores)) < never:
+            i = scores.index(best)
+            if left_to_skip == 0:
+                scores[i], left_to_skip, since = never, next(gaps, -1), 0
+                continue
+            left_to_skip -= 1
+            since += 1
+            parts[i] = joined = parts[i] + parts.pop(i + 1)
+            del scores[i]
+            if i < len(scores):
+                scores[i] = score(joined + parts[i + 1], never)
+            if i:
+                scores[i - 1] = score(parts[i - 1] + joined, never)
+        return parts, since
 
     def ids_of(self, pieces: list[str]) -> bytes:
         from array import array
@@ -98,12 +142,69 @@ class Codec:
                 ids.extend(self.bytes_at[b] for b in p.replace(_STANDIN, MARK).encode())
         return array("I", ids).tobytes()
 
-    def encode_texts(self, texts: list[str], seed: int = 0, variant: int = 0, dropout: float = 0.0) -> list[bytes]:
+    def node(self, unit: str, parent: int = -1, gap: int = 0) -> int:
+        """A new node: the unit's root, or the branch of `parent` for one more gap."""
+        gaps, at = [gap] if parent >= 0 else [], parent
+        while at >= 0 and self.parent[at] >= 0:
+            gaps.append(self.gap[at])
+            at = self.parent[at]
+        pieces, rest = self.segment(unit, reversed(gaps))
+        new = len(self.ids)
+        self.ids.append(self.ids_of(pieces))
+        self.rest.append(rest)
+        self.parent.append(parent)
+        self.gap.append(gap)
+        if parent < 0:
+            self.root[unit] = new
+        else:
+            self.branch[parent << 8 | gap] = new
+        return new
+
+    def encode_units(self, units: list[str], first, dropout: float) -> list[bytes]:
+        """The ids of each unit; first: a 64-bit draw for each, from which its gaps follow."""
+        import numpy as np
+
+        if len(self.ids) > self.limit:
+            self.forget()
+        long = {}
+        for u in set(units).difference(self.root):
+            if len(u) <= MAX_UNIT:
+                self.node(u)
+            else:
+                long[u] = -1
+        if long:
+            empty = self.root[""] if "" in self.root else self.node("")
+            at = np.array([self.root.get(u, empty) for u in units], np.int64)
+        else:
+            at = np.array(list(map(self.root.__getitem__, units)), np.int64)
+        if dropout:
+            due, turn = np.arange(len(units)), 0
+            while len(due):
+                gaps = gaps_of(first[due], turn, dropout)
+                more = gaps < np.frombuffer(self.rest, np.int32)[at[due]]
+                due, gaps = due[more], gaps[more]
+                keys = (at[due] << 8 | gaps).tolist()
+                found = list(map(self.branch.get, keys))
+                if None in found:
+                    for k, (key, node) in enumerate(zip(keys, found, strict=True)):
+                        if node is None:
+                            known = self.branch.get(key)
+                            found[k] = self.node(units[due[k]], key >> 8, key & 255) if known is None else known
+                at[due] = found
+                turn += 1
+        out = list(map(self.ids.__getitem__, at.tolist()))
+        if long:
+            for k, u in enumerate(units):
+                if u in long:
+                    drawn = (int(gaps_of(first[k : k + 1], turn, dropout)[0]) for turn in range(len(u) ** 2)) if dropout else ()
+                    out[k] = self.ids_of(self.segment(u, drawn)[0])
+        return out
+
+    def encode_texts(self, texts: list[str], seed: int = 0, keys=0, dropout: float = 0.0) -> list[bytes]:
+        """The ids of each text; keys: the documents' ids, or one for all texts."""
         from itertools import chain
 
-        key = (seed, variant, dropout)
-        if key not in self.caches:
-            self.caches[key] = WordCache(lambda units: [self.ids_of(self.segment(u, seed, variant, dropout)) for u in units], self.limit)
+        keys = keys if isinstance(keys, list) else [keys] * len(texts)
         lists = []
         for text in texts:
             if _STANDIN in text:  # that character is no piece: its bytes are spelled by the plain path below
@@ -111,11 +212,12 @@ class Codec:
             else:
                 escaped = text.replace(MARK, _STANDIN).replace(" ", MARK)
                 lists.append(_UNITS.findall(MARK + escaped) if text else [])
-        found, at, out = self.caches[key](list(chain.from_iterable(x for x in lists if x))), 0, []
-        for text, units in zip(texts, lists, strict=True):
+        first = first_draws([(seed, key) for key in keys], [len(x or ()) for x in lists]) if dropout else None
+        found, at, out = self.encode_units(list(chain.from_iterable(x for x in lists if x)), first, dropout), 0, []
+        for text, key, units in zip(texts, keys, lists, strict=True):
             if units is None:
                 parts = text.split(_STANDIN)
-                got = self.encode_texts(parts, seed, variant, dropout)
+                got = self.encode_texts(parts[:1], seed, key, dropout)
                 mark = self.ids_of([MARK]) if MARK in self.rank else b""
                 # a part after the first must not bring the mark that encoding puts in front
                 out.append((got[0] or mark) + b"".join(self._bytes(_STANDIN + p) for p in parts[1:]))
@@ -144,13 +246,40 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def variant_of(doc_id, variants: int) -> int:
-    import zlib
+def mixed(x):
+    """Splitmix64's finisher on an array of unsigned longs."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_STEP = 0x9E3779B97F4A7C15
+
+
+def first_draws(keys: list[tuple], sizes: list[int]):
+    """64 bits for each of sizes[i] units of the text with keys[i] = (seed, document id), by the unit's place."""
+    import numpy as np
+    import xxhash
+
+    starts = np.array([xxhash.xxh3_64_intdigest(f"{seed}|{key}") for seed, key in keys], np.uint64)
+    many = np.array(sizes, np.int64)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return mixed(np.repeat(starts, many) + (place + 1).astype(np.uint64) * np.uint64(_STEP))
+
+
+def gaps_of(first, turn: int, dropout: float):
+    """How many candidates are kept before the next is skipped, for the turn-th skip of each unit: P(gap >= k) = (1 - dropout)^k."""
+    import numpy as np
 
-    return zlib.crc32(str(doc_id).encode()) % variants
+    bits = first if turn == 0 else mixed(first + np.uint64(turn * _STEP % 2**64))
+    uniform = ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    with np.errstate(divide="ignore"):
+        return np.minimum(np.log(uniform) / np.log1p(-dropout), 2.0**31 - 1).astype(np.int64)
 
 
-def _encode_rows(path: str, dropout: float, seed: int, variants: int):
+def _encode_rows(path: str, dropout: float, seed: int):
     def run(batches):
         import pyarrow as pa
 
@@ -160,25 +289,21 @@ def _encode_rows(path: str, dropout: float, seed: int, variants: int):
         own = codec(path)
         for batch in batches:
             for rows in grouped(batch):
-                ids = [b""] * len(rows)
-                for v in range(variants):
-                    at = [i for i, (key, _) in enumerate(rows) if variant_of(key, variants) == v]
-                    for i, got in zip(at, own.encode_texts([rows[i][1] for i in at], seed, v, dropout), strict=True):
-                        ids[i] = got
+                ids = own.encode_texts([t for _, t in rows], seed, [k for k, _ in rows], dropout)
                 keys = pa.array([k for k, _ in rows], batch.column(0).type)
                 yield pa.record_batch([keys, pa.array(ids, pa.binary()), pa.array([own.decode(x) == t for x, (_, t) in zip(ids, rows, strict=True)])], names=["doc_id", "ids", "lossless"])
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, ids binary, lossless) of every row of docs(doc_id, text); lossless: the ids decode to the text.
 
     dropout 0 gives the model's own segmentation. Null and empty texts have no ids. Repeated rows are encoded each (the
     same way, as they share the id); other columns are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return plain.mapInArrow(_encode_rows(model_path, dropout, seed, variants), "doc_id long, ids binary, lossless boolean")
+    return plain.mapInArrow(_encode_rows(model_path, dropout, seed), "doc_id long, ids binary, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

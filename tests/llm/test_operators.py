@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from addrloom.llm import fingerprints, line_dedup, ngram_join, packing, quality, sharding, topk, toxicity
-from addrloom.llm.sentencepiece_codec import Codec
+from addrloom.llm.sentencepiece_codec import Codec, first_draws, gaps_of
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORDS = "ash bay cob dew elm fig gum hay ivy jay".split()
@@ -115,6 +115,35 @@ def test_sentencepiece_equals_the_library_and_decodes():
     assert len({own.encode_texts(["varied segmentations of ordinary words"], seed, 0, 0.3)[0] for seed in range(20)}) > 5
 
 
+def test_sentencepiece_dropout_is_drawn_for_every_occurrence():
+    """Occurrences of a word vary in a text and between texts, as often as merge dropout with draws of its own would."""
+    from array import array
+
+    own, times = Codec(public_tokenizers.path("piece_bpe_32k.model"), limit=50), 4000
+    text = " ".join(["segmentation"] * times)
+    pieces, rest = own.segment("▁segmentation")
+    one, two = own.encode_texts([text, text], 5, [1, 2], 0.1)
+    assert one != two and [one, two] == own.encode_texts([text, text], 5, [1, 2], 0.1) and own.decode(one) == text
+    assert one == own.encode_texts([text], 5, 1, 0.1)[0]
+    starts = own.encode_texts([text], 5, 1, 0.0)[0]
+    assert starts == own.ids_of(pieces) * times
+    units = own.encode_units(["▁segmentation"] * times, first_draws([(5, 1)], [times]), 0.1)
+    assert b"".join(units) == one and len(set(units)) > 10
+    # replayed one by one from the same gaps, without the cache
+    draws = first_draws([(5, 1)], [times])
+    for k in range(0, times, 97):
+        gaps = (int(gaps_of(draws[k : k + 1], turn, 0.1)[0]) for turn in range(200))
+        assert units[k] == own.ids_of(own.segment("▁segmentation", gaps)[0])
+    for unit in ["▁segmentation", "▁antidisestablishment", "aaaaaaaa", "▁", ""]:
+        for gaps in ([], [0], [1], [0, 0], [2, 1, 0]):
+            with_heap = own.segment(unit + "\x00" * 30, gaps)[0]
+            assert own.segment(unit, gaps)[0] == [p for p in with_heap if p != "\x00"]
+    unskipped = sum(int(g) >= rest for g in gaps_of(draws, 0, 0.1)) / times
+    assert abs(unskipped - 0.9**rest) < 0.04
+    long = "x" * 300
+    assert own.decode(own.encode_texts([long], 1, 1, 0.3)[0]) == long != "" and len(array("I", own.encode_texts([long], 1, 1, 1.0)[0])) >= 300
+
+
 def test_quality_and_toxicity_on_odd_rows(spark, docs):
     model = quality.fit(docs)
     assert quality.score(docs, model).count() == docs.count()
