@@ -1,14 +1,18 @@
 """Line dedup by a segment-partition edit join, in DataFrame expressions only.
 
+Two lines link within `edits` edits, but the shorter must have LINK_CHARS characters for each edit: k = `allowed` edits.
 A line of length L within k edits of a line of length l <= L holds one of its k + 1 segments unchanged, near the place
 it had. Every line indexes its own segments under (l, segment number, hash) and probes the substrings of a longer line
 that could be such a segment, for every length from L - k to L (the offsets that two-sided counting of edits leaves).
 Lines that meet are compared after trimming their common prefix and suffix, by a banded bit-parallel automaton: 2 k + 1
 diagonals in one word for each number of edits.
 
-Groups of more than `most` lines under one segment are not paired. With one edit allowed, such a line instead emits
-every string that lacks one of its characters: lines of one length that agree outside one place are all linked, so a
-star does; a line that equals another's shortened string is linked with it. That costs a line's length in rows.
+Groups of more than `most` lines under one segment are not paired at once. Each of their lines first emits what is left
+around every window of k characters, and every string that lacks one of its characters: lines of one length that agree
+outside one window are all linked, so a star does; a line that equals another's shortened string is linked with it. That
+costs a line's length in rows, and with one edit it finds every link. With more, groups that these links have not made
+one class are split again by the segments of what surrounds the shared one (a pair within k edits shares one of those as
+well), and lines of different classes that still meet are compared: all of them, however many.
 Links make classes (connected components); a class keeps its first line, by document id and line number.
 """
 
@@ -17,8 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EDITS, MIN_CHARS, MOST = 1, 1, 48
-LINK_CHARS = 12  # of the shorter line, for a link other than equality: below, one edit makes another word
+EDITS, MIN_CHARS, MOST = 3, 1, 48
+LINK_CHARS = 12  # of the shorter line, for each edit of a link: in less, one edit makes another word
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -35,23 +39,57 @@ def probes(edits: int):
                 yield less, i, offset
 
 
-def signatures(line: Column, size: Column, edits: int) -> Column:
-    """Longs whose last bit says own: these index the line, the others look for shorter or shifted lines. size: its length.
+def allowed(size: Column, edits: int) -> Column:
+    """The edits that a link may take whose shorter line has `size` characters."""
+    return F.least(F.floor(size / LINK_CHARS).cast("int"), F.lit(edits))
 
-    Pass plain columns: both are referred to many times.
+
+def segments(line: Column, size: Column, edits: int, take, k: Column | None = None) -> Column:
+    """The array of take(own, k, whole, i, start, width) for every segment that a line indexes (own) or looks up.
+
+    Segment i of lines of `whole` characters, where k edits are allowed (or as given), begins after `start` characters.
+    Pass plain columns: all are referred to many times.
     """
-    out = []
-    for less, i, offset in probes(edits):
-        whole = size - F.lit(less)
-        base, longer = F.floor(whole / (edits + 1)).cast("int"), (whole % (edits + 1)).cast("int")
-        # the last `longer` segments have one character more
-        short = edits + 1 - longer
-        start = base * i + F.greatest(F.lit(i) - short, F.lit(0)) + F.lit(offset)
-        width = base + F.when(F.lit(i) >= short, 1).otherwise(0)
-        sig = F.xxhash64(whole, F.lit(i), F.substr(line, start + 1, width))
-        fits = (start >= 0) & (start + width <= size)
-        out.append(F.when(fits, sig.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(less == 0 and offset == 0)))))
-    return F.array(*out)
+    parts = []
+    for most in range(1, edits + 1):
+        out = []
+        for less, i, offset in probes(most):
+            whole = size - F.lit(less)
+            base, longer = F.floor(whole / (most + 1)).cast("int"), (whole % (most + 1)).cast("int")
+            # the last `longer` segments have one character more
+            short = most + 1 - longer
+            start = base * i + F.greatest(F.lit(i) - short, F.lit(0)) + F.lit(offset)
+            width = base + F.when(F.lit(i) >= short, 1).otherwise(0)
+            fits = (whole >= 0) & (start >= 0) & (start + width <= size)
+            here = allowed(whole, edits) == most if k is None else k == most
+            out.append(F.when(here & fits, take(less == 0 and offset == 0, most, whole, i, start, width)))
+        if k is None:
+            near = size >= most * LINK_CHARS
+            near = near & (size < (most + 1) * LINK_CHARS + most) if most < edits else near
+        else:
+            near = k == most
+        parts.append(F.when(near, F.array(*out)))
+    return F.concat(*[F.coalesce(p, F.array()) for p in parts])
+
+
+def signatures(line: Column, size: Column, edits: int, k: Column | None = None, inside: tuple = ()) -> Column:
+    """Longs whose last bit says own: these index the line, the others look for shorter or shifted lines."""
+
+    def sig(own, most, whole, i, start, width):
+        return F.xxhash64(*inside, whole, F.lit(i), F.substr(line, start + 1, width)).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(own)))
+
+    return segments(line, size, edits, sig, k)
+
+
+def surroundings(line: Column, size: Column, edits: int) -> Column:
+    """Structs (sig, k, rest) of the same segments: what is left of the line without the segment."""
+
+    def rest(own, most, whole, i, start, width):
+        sig = F.xxhash64(whole, F.lit(i), F.substr(line, start + 1, width)).bitwiseAND(F.lit(-2))
+        left = F.concat(F.substr(line, F.lit(1), start), F.substr(line, start + width + 1, size))
+        return F.struct(sig.alias("sig"), F.lit(most).alias("k"), left.alias("rest"))
+
+    return segments(line, size, edits, rest)
 
 
 def common_prefix(a: Column, b: Column, limit: int = 1 << 20) -> Column:
@@ -60,14 +98,18 @@ def common_prefix(a: Column, b: Column, limit: int = 1 << 20) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= F.least(F.char_length(a), F.char_length(b))) & (F.substr(a, at + 1, s) == F.substr(b, at + 1, s)), at + s).otherwise(at))
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Is the edit distance of two short strings at most `edits`? Bit r of word d at column j: cost <= d at row j - edits + r."""
-    left, right = F.split(a, ""), F.split(b, "")
-    n, m = F.char_length(a), F.char_length(b)
+def within(left: Column, right: Column, n: Column, m: Column, edits: int, k: Column, first: int | None = None) -> Column:
+    """Is the edit distance of two character arrays of n and m characters at most k (1 to `edits`)?
+
+    Bit r of word d at column j: cost <= d at row j - edits + r. With `first`, only that many columns are looked at, and
+    the answer is whether k edits are still possible. Pass plain columns.
+    """
     start = F.struct(*[F.lit(sum(1 << (edits + i) for i in range(d + 1))).alias(f"r{d}") for d in range(edits + 1)])
+    upto = m if first is None else F.least(m, F.lit(first))
+    columns = F.when(upto > 0, F.sequence(F.lit(1), upto)).otherwise(F.array().cast("array<int>"))
+    same = lambda j: sum((F.when(F.get(left, j - edits + r - 1) == F.get(right, j - 1), 1 << r).otherwise(0) for r in range(2 * edits + 1)), F.lit(0))
 
-    def step(state, j):
-        match = sum((F.when(F.get(left, j - edits + r - 1) == F.get(right, j - 1), 1 << r).otherwise(0) for r in range(2 * edits + 1)), F.lit(0))
+    def step(state, match):
         rows = []
         for d in range(edits + 1):
             now = state[f"r{d}"].bitwiseAND(match)
@@ -76,37 +118,56 @@ def within(a: Column, b: Column, edits: int) -> Column:
             rows.append(now.bitwiseAND(F.lit((1 << (2 * edits + 1)) - 1)))
         return F.struct(*[row.alias(f"r{d}") for d, row in enumerate(rows)])
 
-    last = F.aggregate(F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")), start, step)[f"r{edits}"]
-    return (F.abs(n - m) <= edits) & (F.call_function("shiftright", last, n - m + edits).bitwiseAND(F.lit(1)) == 1)
+    def finish(state):
+        return F.coalesce(*[F.when(k == d, state[f"r{d}"]) for d in range(1, edits + 1)])
+
+    last = F.aggregate(F.transform(columns, same), start, step, finish)
+    if first is not None:
+        return last != 0
+    return (F.abs(n - m) <= k) & (F.call_function("shiftright", last, n - m + edits).bitwiseAND(F.lit(1)) == 1)
 
 
 def verified(pairs: DataFrame, edits: int) -> DataFrame:
-    """The pairs (src, dst) of rows (src, dst, a, b) whose strings a and b are within `edits`.
+    """The pairs (src, dst) of rows (src, dst, a, b) whose strings a and b are within the edits allowed for the shorter.
 
     The trimmed strings are written once: a filter above them would otherwise be rewritten in terms of the whole trim.
     """
     from .common import materialize
 
-    trimmed = pairs.withColumn("p", common_prefix(F.col("a"), F.col("b")))
-    trimmed = trimmed.select("src", "dst", F.expr("substring(a, p + 1)").alias("a"), F.expr("substring(b, p + 1)").alias("b"))
+    sized = pairs.withColumn("k", allowed(F.least(F.char_length("a"), F.char_length("b")), edits))
+    trimmed = sized.where("k > 0 and abs(char_length(a) - char_length(b)) <= k").withColumn("p", common_prefix(F.col("a"), F.col("b")))
+    trimmed = trimmed.select("src", "dst", "k", F.expr("substring(a, p + 1)").alias("a"), F.expr("substring(b, p + 1)").alias("b"))
     trimmed = trimmed.withColumn("s", common_prefix(F.reverse("a"), F.reverse("b")))
-    trimmed = trimmed.select("src", "dst", F.expr("left(a, char_length(a) - s)").alias("a"), F.expr("left(b, char_length(b) - s)").alias("b"))
-    trimmed = materialize(trimmed, "trimmed")
-    if edits == 1:  # both ends differ now, so two characters on both sides need two edits
-        trimmed = trimmed.where((F.char_length("a") < 2) & (F.char_length("b") < 2))
-    return trimmed.where(within(F.col("a"), F.col("b"), edits)).select("src", "dst")
+    trimmed = trimmed.select("src", "dst", "k", F.expr("left(a, char_length(a) - s)").alias("a"), F.expr("left(b, char_length(b) - s)").alias("b"))
+    sides = [F.split("a", "").alias("left"), F.split("b", "").alias("right"), F.char_length("a").alias("n"), F.char_length("b").alias("m")]
+    trimmed = materialize(trimmed.select("src", "dst", "k", *sides), "trimmed")
+    # both ends differ now, so one edit leaves no two characters on both sides
+    trimmed = trimmed.where("k > 1 or n < 2 and m < 2")
+    sides = [F.col(c) for c in ("left", "right", "n", "m")]
+    # most pairs differ early
+    near = trimmed.where(within(*sides, edits, F.col("k"), 16))
+    return near.where(within(*sides, edits, F.col("k"))).select("src", "dst")
+
+
+def met(members: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of members(sig, id, own, ...) with one sig, where src owns it; columns group: of different groups only."""
+    apart = "src <> dst and (not both or src < dst)"
+    extra = ["group"] if "group" in members.columns else []
+    own = members.where("own").select("sig", F.col("id").alias("src"), *[F.col(c).alias("g") for c in extra])
+    other = members.select("sig", F.col("id").alias("dst"), F.col("own").alias("both"), *[F.col(c).alias("h") for c in extra])
+    return own.join(other, "sig").where(apart + (" and g <> h" if extra else "")).select("src", "dst").distinct()
 
 
 def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFrame:
     """Links (src, dst) between hashes of different lines within `edits`, enough for the components to be right.
 
-    Both lines of a link have LINK_CHARS characters or more.
+    The shorter line of a link has LINK_CHARS characters or more for each edit.
     """
-    from .common import materialize, only_near
+    from .common import materialize, only_near, star_fold
 
     if edits < 1:
         raise ValueError("edits must be 1 or more; equal lines need no join")
-    lines = lines.where(F.char_length("line") >= max(LINK_CHARS, edits + 1))
+    lines = lines.where(F.char_length("line") >= LINK_CHARS)
     keyed = lines.select(F.xxhash64("line").alias("id"), "line")
     sized = keyed.withColumn("size", F.char_length("line"))
     signed = sized.select("id", F.explode(signatures(F.col("line"), F.col("size"), edits)).alias("x")).where("x is not null")
@@ -116,12 +177,9 @@ def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFr
     members = only_near(signed, "sig", shared).join(shared, "sig").groupBy("sig", "id").agg(F.max("own").alias("own"))
     members = materialize(members, "members")
     size = members.groupBy("sig").agg(F.count("*").alias("size"))
-    small = members.join(size.where(F.col("size") <= most), "sig") if edits == 1 else members
-    own = small.where("own").select("sig", F.col("id").alias("src"))
-    pairs = own.join(small.select("sig", F.col("id").alias("dst"), F.col("own").alias("both")), "sig")
-    pairs = materialize(pairs.where("src <> dst and (not both or src < dst)").select("src", "dst").distinct(), "pairs")
-    crowd = members.join(size.where(F.col("size") > most), "sig").select("id").distinct() if edits == 1 else members.select("id").limit(0)
-    crowd = materialize(crowd, "crowd")
+    pairs = materialize(met(members.join(size.where(F.col("size") <= most), "sig")), "pairs")
+    hot = members.join(size.where(F.col("size") > most), "sig")
+    crowd = materialize(hot.select("id").distinct(), "crowd")
     wanted = materialize(pairs.select("src").union(pairs.select("dst")).union(crowd).distinct().toDF("id"), "ids")
     texts = materialize(only_near(keyed, "id", wanted).join(wanted, "id").dropDuplicates(["id"]), "lines")
     side = lambda key, text: texts.select(F.col("id").alias(key), F.col("line").alias(text))
@@ -129,21 +187,39 @@ def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFr
 
     packed = texts.join(crowd, "id")
     places = packed.withColumn("at", F.explode(F.sequence(F.lit(1), F.char_length("line"))))
-    places = places.select("id", "at", F.char_length("line").alias("size"), F.expr("left(line, at - 1)").alias("head"), F.expr("substring(line, at + 1)").alias("tail"))
-    holes = places.select("id", F.xxhash64("size", "at", "head", "tail").alias("hole"))
+    parted = lambda width: [F.char_length("line").alias("size"), F.expr("left(line, at - 1)").alias("head"), F.substr("line", F.col("at") + width).alias("tail")]
+    holes = places.select("id", "at", *parted(allowed(F.char_length("line"), edits)))
+    holes = holes.select("id", F.xxhash64("size", "at", "head", "tail").alias("hole"))
     leaders = holes.groupBy("hole").agg(F.min("id").alias("dst"), F.max("id").alias("last")).where("dst < last").select("hole", "dst")
     swaps = holes.join(leaders, "hole").where("id <> dst").select(F.col("id").alias("src"), "dst")
-    shorter = places.select("id", F.xxhash64(F.concat("head", "tail")).alias("dst")).join(crowd.select(F.col("id").alias("dst")), "dst")
+    shorter = places.where(F.char_length("line") > LINK_CHARS).select("id", *parted(F.lit(1)))
+    shorter = shorter.select("id", F.xxhash64(F.concat("head", "tail")).alias("dst")).join(crowd.select(F.col("id").alias("dst")), "dst")
     shorter = shorter.where("id <> dst").select(F.col("id").alias("src"), "dst")
-    return links.union(swaps).union(shorter).distinct()
+    links = links.union(swaps).union(shorter).distinct()
+    if edits == 1:
+        return links
+
+    links = materialize(links, "links")
+    grouped = hot.join(star_fold(links).withColumnRenamed("node", "id"), "id", "left")
+    grouped = grouped.select("sig", "id", F.coalesce("component", "id").alias("group"))
+    groups = grouped.select("id", "group").distinct()
+    parts = materialize(grouped.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("sig"), "parts")
+    around = packed.select("id", F.explode(surroundings(F.col("line"), F.char_length("line"), edits)).alias("x")).where("x is not null")
+    around = around.select("id", "x.*").join(parts, "sig").join(groups, "id").withColumn("size", F.char_length("rest"))
+    split = around.select("id", "group", F.explode(signatures(F.col("rest"), F.col("size"), edits, F.col("k"), (F.col("sig"),))).alias("x"))
+    split = split.where("x is not null").select("id", "group", F.expr("x & -2L").alias("sig"), F.expr("x & 1L = 1L").alias("own"))
+    split = materialize(split.groupBy("sig", "id", "group").agg(F.max("own").alias("own")), "split")
+    mixed = split.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("own").alias("own"))
+    pairs = materialize(met(split.join(mixed.where("low < high and own").select("sig"), "sig")), "pairs")
+    return links.union(verified(pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst"), edits)).distinct()
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, most: int = MOST) -> DataFrame:
     """Every line of at least min_chars characters with its class: one row for each line of docs(doc_id, text).
 
     Returns doc_id, line_no, class_doc_id, class_line_no (the class's first line by document id and line number),
-    class_size and kept (it is that line). Lines within `edits` edits link, where both have LINK_CHARS characters; equal
-    lines of any length always do. Lines under min_chars (1: only empty lines, which part paragraphs), null and empty
+    class_size and kept (it is that line). Lines within `edits` edits link, where the shorter has LINK_CHARS characters
+    for each edit; equal lines of any length always do. Lines under min_chars (1: only empty lines, which part paragraphs), null and empty
     texts give no rows. Rows that repeat a doc_id are lines of one document: the smallest (doc_id, line_no,
     hash) counts as first, and ties are all kept. Other columns are ignored.
     """
@@ -174,7 +250,7 @@ def without_repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def op10_line_dedup(spark, sf_dir):
-    """The classes of all lines: equal, or one edit apart at most."""
+    """The classes of all lines: equal, or at most 3 edits apart (one for each 12 characters of the shorter)."""
     from .common import documents
 
     return line_classes(documents(spark, sf_dir))

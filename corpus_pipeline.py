@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that repeat an earlier line (one edit apart at most)."""
+    """All documents, without the lines that repeat an earlier line (at most 3 edits apart, one for each 12 characters)."""
     common.release(spark)
     return line_dedup.without_repeats(docs, line_dedup.line_classes(docs))
 

@@ -100,6 +100,47 @@ def test_every_line_has_a_row(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_repeats(df, classes).collect()} == {0: texts[0], 1: ""}
 
 
+@pytest.mark.parametrize("most", [48, 1])
+def test_lines_of_several_edits_against_all_pairs(spark, most):
+    """Edited copies of lines of 10 to 70 characters, numbered lines and lines of one beginning, in small and hot groups."""
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    dice = random.Random(11)
+    lines = [f"page {7 * i} of the book of hours" for i in range(12)]
+    for n in (10, 12, 23, 24, 36, 40, 70):
+        for start in ("", "the same start "):
+            line = start + "".join(dice.choice("abcde é") for _ in range(n - len(start)))
+            lines.append(line)
+            for _ in range(6):
+                new = list(line)
+                for _ in range(dice.randrange(1, 5)):
+                    at = dice.randrange(len(new))
+                    new[at : at + dice.randrange(2)] = dice.choice(["", "x", "e"])
+                lines.append("".join(new))
+    root = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if lines[a] == lines[b] or distance(lines[a], lines[b]) <= min(3, min(len(lines[a]), len(lines[b])) // 12):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    df = frame(spark, [(i, t, 0, "") for i, t in enumerate(lines)])
+    got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(df, most=most).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < len(lines) - 20
+
+
+def test_one_changed_word_links_by_default(spark):
+    df = frame(spark, [(1, "a line of ingedre and more, ble.", 0, ""), (2, "a line of ingedre and more, the.", 0, ""), (3, "a line of ingedre and less, the.", 0, "")])
+    assert {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_sentencepiece_equals_the_library_and_decodes():
     import sentencepiece
     from array import array
