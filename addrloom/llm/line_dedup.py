@@ -44,52 +44,28 @@ def allowed(size: Column, edits: int) -> Column:
     return F.least(F.floor(size / LINK_CHARS).cast("int"), F.lit(edits))
 
 
-def segments(line: Column, size: Column, edits: int, take, k: Column | None = None) -> Column:
-    """The array of take(own, k, whole, i, start, width) for every segment that a line indexes (own) or looks up.
+def segments(lines: DataFrame, edits: int) -> DataFrame:
+    """lines(..., size) with a row for every segment that a line indexes (own) or looks up.
 
-    Segment i of lines of `whole` characters, where k edits are allowed (or as given), begins after `start` characters.
-    Pass plain columns: all are referred to many times.
+    Adds most, whole, i, start and width: segment i of lines of `whole` characters, where `most` edits are allowed (or
+    as many as a column k says), begins after `start` characters. The looked-up places are exploded as a literal, so that
+    one short generated expression serves them all.
     """
-    parts = []
-    for most in range(1, edits + 1):
-        out = []
-        for less, i, offset in probes(most):
-            whole = size - F.lit(less)
-            base, longer = F.floor(whole / (most + 1)).cast("int"), (whole % (most + 1)).cast("int")
-            # the last `longer` segments have one character more
-            short = most + 1 - longer
-            start = base * i + F.greatest(F.lit(i) - short, F.lit(0)) + F.lit(offset)
-            width = base + F.when(F.lit(i) >= short, 1).otherwise(0)
-            fits = (whole >= 0) & (start >= 0) & (start + width <= size)
-            here = allowed(whole, edits) == most if k is None else k == most
-            out.append(F.when(here & fits, take(less == 0 and offset == 0, most, whole, i, start, width)))
-        if k is None:
-            near = size >= most * LINK_CHARS
-            near = near & (size < (most + 1) * LINK_CHARS + most) if most < edits else near
-        else:
-            near = k == most
-        parts.append(F.when(near, F.array(*out)))
-    return F.concat(*[F.coalesce(p, F.array()) for p in parts])
+    every = [(most, *probe) for most in range(1, edits + 1) for probe in probes(most)]
+    names = ("most", "less", "i", "offset")
+    each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, probe, strict=True)]) for probe in every])
+    rows = lines.withColumn("_x", F.explode(each)).select(*lines.columns, "_x.*").withColumn("whole", F.expr("size - less"))
+    rows = rows.where(F.col("most") == (F.col("k") if "k" in lines.columns else allowed(F.col("whole"), edits)))
+    # the last whole % (most + 1) segments have one character more
+    rows = rows.withColumn("base", F.expr("cast(whole div (most + 1) as int)")).withColumn("short", F.expr("most + 1 - whole % (most + 1)"))
+    rows = rows.withColumn("start", F.expr("base * i + greatest(i - short, 0) + offset")).withColumn("width", F.expr("base + if(i >= short, 1, 0)"))
+    rows = rows.where("whole >= 0 and start >= 0 and start + width <= size").withColumn("own", F.expr("less = 0 and offset = 0"))
+    return rows.select(*lines.columns, "most", "whole", "i", "start", "width", "own")
 
 
-def signatures(line: Column, size: Column, edits: int, k: Column | None = None, inside: tuple = ()) -> Column:
-    """Longs whose last bit says own: these index the line, the others look for shorter or shifted lines."""
-
-    def sig(own, most, whole, i, start, width):
-        return F.xxhash64(*inside, whole, F.lit(i), F.substr(line, start + 1, width)).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(own)))
-
-    return segments(line, size, edits, sig, k)
-
-
-def surroundings(line: Column, size: Column, edits: int) -> Column:
-    """Structs (sig, k, rest) of the same segments: what is left of the line without the segment."""
-
-    def rest(own, most, whole, i, start, width):
-        sig = F.xxhash64(whole, F.lit(i), F.substr(line, start + 1, width)).bitwiseAND(F.lit(-2))
-        left = F.concat(F.substr(line, F.lit(1), start), F.substr(line, start + width + 1, size))
-        return F.struct(sig.alias("sig"), F.lit(most).alias("k"), left.alias("rest"))
-
-    return segments(line, size, edits, rest)
+def signature(text: str, *inside: str) -> Column:
+    """The hash of a row of segments; equal ones are where lines meet."""
+    return F.xxhash64(*inside, "whole", "i", F.substr(text, F.col("start") + 1, "width"))
 
 
 def common_prefix(a: Column, b: Column, limit: int = 1 << 20) -> Column:
@@ -170,8 +146,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFr
     lines = lines.where(F.char_length("line") >= LINK_CHARS)
     keyed = lines.select(F.xxhash64("line").alias("id"), "line")
     sized = keyed.withColumn("size", F.char_length("line"))
-    signed = sized.select("id", F.explode(signatures(F.col("line"), F.col("size"), edits)).alias("x")).where("x is not null")
-    signed = signed.select("id", F.expr("x & -2L").alias("sig"), F.expr("x & 1L = 1L").alias("own"))
+    signed = segments(sized, edits).select("id", signature("line").alias("sig"), "own")
     shared = signed.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own"))
     shared = materialize(shared.where("low < high and own").select("sig"), "segments")
     members = only_near(signed, "sig", shared).join(shared, "sig").groupBy("sig", "id").agg(F.max("own").alias("own"))
@@ -204,10 +179,10 @@ def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFr
     grouped = grouped.select("sig", "id", F.coalesce("component", "id").alias("group"))
     groups = grouped.select("id", "group").distinct()
     parts = materialize(grouped.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("sig"), "parts")
-    around = packed.select("id", F.explode(surroundings(F.col("line"), F.char_length("line"), edits)).alias("x")).where("x is not null")
-    around = around.select("id", "x.*").join(parts, "sig").join(groups, "id").withColumn("size", F.char_length("rest"))
-    split = around.select("id", "group", F.explode(signatures(F.col("rest"), F.col("size"), edits, F.col("k"), (F.col("sig"),))).alias("x"))
-    split = split.where("x is not null").select("id", "group", F.expr("x & -2L").alias("sig"), F.expr("x & 1L = 1L").alias("own"))
+    around = segments(packed.withColumn("size", F.char_length("line")), edits).withColumn("sig", signature("line"))
+    rest = F.expr("concat(left(line, start), substring(line, start + width + 1))")
+    around = around.select("id", "sig", F.col("most").alias("k"), rest.alias("rest")).join(parts, "sig").join(groups, "id")
+    split = segments(around.withColumn("size", F.char_length("rest")), edits).select("id", "group", signature("rest", "sig").alias("sig"), "own")
     split = materialize(split.groupBy("sig", "id", "group").agg(F.max("own").alias("own")), "split")
     mixed = split.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("own").alias("own"))
     pairs = materialize(met(split.join(mixed.where("low < high and own").select("sig"), "sig")), "pairs")
