@@ -37,11 +37,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by id, of every group of near copies: five-word shingles, similarity 0.8 or more."""
+    """The first document, by id, of every group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Rows without a doc_id have no place in that order: all are kept, and they stand for no group.
+    """
     common.release(spark)
-    groups = ngram_join.jaccard_components(docs, NEAR_WORDS, NEAR_SIMILARITY)
+    groups = ngram_join.jaccard_components(docs.where("doc_id is not null"), NEAR_WORDS, NEAR_SIMILARITY)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id").select(*docs.columns)
+    return docs.join(first, "doc_id").select(*docs.columns).unionAll(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

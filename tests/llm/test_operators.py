@@ -232,3 +232,12 @@ def test_parity_bits_never_reject_a_link():
             linked = 5 * len(np.intersect1d(one, other)) >= 4 * len(np.union1d(one, other))
             tied = ngram_join._tied([1, 2], [len(one), len(other)], [ngram_join.parity_bits(one), ngram_join.parity_bits(other)], Fraction(4, 5))
             assert tied == [(1, 2)] or not linked
+
+
+def test_near_copies_keep_rows_without_an_id(spark):
+    import corpus_pipeline
+
+    text = " ".join(WORDS)
+    df = frame(spark, [(1, text, 0, ""), (2, text, 0, ""), (None, text, 0, ""), (None, None, 0, "")])
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, text), (None, text), (None, None)], key=str)
