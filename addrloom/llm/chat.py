@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|", "|>"
 END = "<|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
+RESULTS = ("prompt_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")
 
 
 def conversation_table(turns: DataFrame) -> DataFrame:
@@ -56,17 +57,19 @@ def common_turns(a: Column, b: Column) -> Column:
 def preference_rows(pairs: DataFrame) -> DataFrame:
     """pairs with columns chosen and rejected (arrays of (role, text)) -> prompt, completions and their masks.
 
-    Other columns pass through. Equal conversations: two empty completions. No common turn: an empty prompt. Null
-    conversations count as empty.
+    Other columns pass through, but those named as a result are replaced. Equal conversations: two empty completions. No
+    common turn: an empty prompt. Null conversations count as empty. Repeated rows: a result each.
     """
     empty = F.array().cast(TURNS)
-    rest = [c for c in pairs.columns if c not in ("chosen", "rejected")]
+    passed = [c for c in pairs.columns if c not in RESULTS]
+    rest = [F.struct(*passed).alias("rest")] if passed else []
     rows = pairs.select(*rest, F.coalesce("chosen", empty).alias("chosen"), F.coalesce("rejected", empty).alias("rejected"))
     rows = rows.withColumn("prompt_turns", common_turns(F.col("chosen"), F.col("rejected")))
     tail = lambda c: F.slice(c, F.col("prompt_turns") + 1, F.size(c))
+    rest = ["rest"] if passed else []
     rows = rows.select(*rest, "prompt_turns", F.slice("chosen", F.lit(1), F.col("prompt_turns")).alias("p"), tail(F.col("chosen")).alias("c"), tail(F.col("rejected")).alias("r"))
     return rows.select(
-        *rest, "prompt_turns", render(F.col("p")).alias("prompt"),
+        *(["rest.*"] if passed else []), "prompt_turns", render(F.col("p")).alias("prompt"),
         render(F.col("c")).alias("chosen"), loss_spans(F.col("c")).alias("chosen_mask"),
         render(F.col("r")).alias("rejected"), loss_spans(F.col("r")).alias("rejected_mask"),
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Sequence
 
@@ -16,32 +18,51 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can read: spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, one machine) a temporary folder is made and kept for the session.
+    Only where that setting is missing and the master is local a temporary folder is made and kept for the session;
+    a cluster without the setting raises RuntimeError.
     """
     found = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="addrloom-")
         spark.conf.set(CHECKPOINT_CONF, found)
     return found.rstrip("/")
 
 
-_written: list[str] = []
+_written: dict[tuple[str, int], list[str]] = {}  # paths by owner and thread
+_owner = threading.local()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/addrloom/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if getattr(_owner, "name", None):
+        _written.setdefault((_owner.name, threading.get_ident()), []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that materialize has written: call it once the results that read them have been stored."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def tables_of(spark: SparkSession, owner: str):
+    """What materialize writes inside belongs to `owner` (in this thread), whose earlier tables are deleted first.
+
+    So an owner's results must be stored before it starts anew. Tables without an owner are never deleted here.
+    """
+    before, key = getattr(_owner, "name", None), (owner, threading.get_ident())
+    for path in _written.pop(key, []):
+        delete(spark, path)
+    _owner.name = owner
+    try:
+        yield
+    finally:
+        _owner.name = before
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -68,9 +68,9 @@ def signature(text: str, *inside: str) -> Column:
     return F.xxhash64(*inside, "whole", "i", F.substr(text, F.col("start") + 1, "width"))
 
 
-def common_prefix(a: Column, b: Column, limit: int = 1 << 20) -> Column:
-    """Length of the common prefix of two strings by doubling steps, up to 2 * limit - 1 characters."""
-    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(limit.bit_length() - 1, -1, -1)]), lambda s: s <= F.greatest(F.char_length(a), F.lit(1)))
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two strings by halving steps, however long they are."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda s: s <= F.greatest(F.char_length(a), F.lit(1)))
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= F.least(F.char_length(a), F.char_length(b))) & (F.substr(a, at + 1, s) == F.substr(b, at + 1, s)), at + s).otherwise(at))
 
 
@@ -144,7 +144,8 @@ def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFr
     if edits < 1:
         raise ValueError("edits must be 1 or more; equal lines need no join")
     lines = lines.where(F.char_length("line") >= LINK_CHARS)
-    keyed = lines.select(F.xxhash64("line").alias("id"), "line")
+    keyed = lines.select(F.xxhash64("line").alias("id"), "line").dropDuplicates(["id"])  # copies are one line from here on
+    keyed = materialize(keyed, "distinct")
     sized = keyed.withColumn("size", F.char_length("line"))
     signed = segments(sized, edits).select("id", signature("line").alias("sig"), "own")
     shared = signed.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own"))
@@ -156,7 +157,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFr
     hot = members.join(size.where(F.col("size") > most), "sig")
     crowd = materialize(hot.select("id").distinct(), "crowd")
     wanted = materialize(pairs.select("src").union(pairs.select("dst")).union(crowd).distinct().toDF("id"), "ids")
-    texts = materialize(only_near(keyed, "id", wanted).join(wanted, "id").dropDuplicates(["id"]), "lines")
+    texts = materialize(only_near(keyed, "id", wanted).join(wanted, "id"), "lines")
     side = lambda key, text: texts.select(F.col("id").alias(key), F.col("line").alias(text))
     links = verified(pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst"), edits)
 
@@ -195,8 +196,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     Returns doc_id, line_no, class_doc_id, class_line_no (the class's first line by document id and line number),
     class_size and kept (it is that line). Lines within `edits` edits link, where the shorter has LINK_CHARS characters
     for each edit; equal lines of any length always do. Lines under min_chars (1: only empty lines, which part paragraphs), null and empty
-    texts give no rows. Rows that repeat a doc_id are lines of one document: the smallest (doc_id, line_no,
-    hash) counts as first, and ties are all kept. Other columns are ignored.
+    texts give no rows. Rows that repeat a doc_id are lines of one document: the smallest (doc_id, line_no)
+    counts as first, and ties are all kept. A null doc_id comes before all others. Other columns are ignored.
     """
     from .common import materialize, star_fold
 
@@ -209,18 +210,24 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     first = grouped.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("class_size"))
     return grouped.join(first, ["c1", "c2"]).select(
         "doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "class_size",
-        ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
     )
 
 
-def without_repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """docs with the lines that line_classes did not keep taken out of `text` (n_chars follows, where there is one)."""
-    gone = classes.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+def without_repeats(docs: DataFrame, classes: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """docs with the lines that line_classes did not keep taken out of `text` (n_chars follows, where there is one).
+
+    drop_emptied: documents whose lines all went go as well; those that were empty before stay. Rows without a doc_id
+    keep all their lines.
+    """
+    gone = classes.where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     joined = docs.join(gone, "doc_id", "left")
     left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i.cast("long")))
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+    if drop_emptied:
+        out = out.where(F.col("_gone").isNull() | F.col("text").rlike("[^\n]"))
     return out.select(*docs.columns)
 
 

@@ -28,10 +28,11 @@ FIELDS = [f.split()[0] for f in PIECE.split(", ")]
 def stem_of(word: str) -> tuple[str, str]:
     """(stem, tail) so that a lower-casing word tokenizer gives the stem's ids and then the tail's: tail is '', ',' or '.'.
 
-    Only for letters and one mark behind them, where the cut is a token's border; case is folded where it is plain.
+    Only for letters and one mark behind them, where the cut is a token's border: not behind a letter whose lower case
+    ends in a combining mark (\u0130), which a following comma or stop joins. Case is folded where it is plain.
     """
     tail = word[-1:]
-    if tail in (",", ".") and word[:-1].isalpha():
+    if tail in (",", ".") and word[:-1].isalpha() and word[-2].lower().isalpha():
         stem = word[:-1]
     elif word.isalpha():
         stem, tail = word, ""

@@ -14,14 +14,14 @@ import math
 import re
 import zlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .words import take_over
 
 TRAIN_ROWS, BUCKETS, KEEP_AT = 4000, 1024, 0.5
-JUNK, FINE, NONE = 0, 1, 2
+JUNK, FINE, NONE, UNDEFINED = 0, 1, 2, 3
 #: name: (fine up to, junk from) of a share between 0 and 1
 LABELLERS = {
     "symbol_words": (0.02, 0.12),  # words that hold symbols
@@ -79,11 +79,14 @@ _codes = _Codes()
 
 
 def measures(text: str | None, hashing: bool = True):
-    """(labellers' shares, hashed features) of a whole text; no words, or features not asked for: all zero."""
+    """(labellers' shares, hashed features) of a whole text; a share that is undefined is NaN, features not asked for are 0.
+
+    Undefined: all shares of a text without words, the stutter of one word, the last two of fewer than 20 words.
+    """
     import numpy as np
 
     words = (text or "").split()
-    values = np.zeros(len(LABELLERS), np.float64)
+    values = np.full(len(LABELLERS), np.nan)
     hashed = np.zeros(BUCKETS, np.float32)
     if not words:
         return values, hashed
@@ -102,7 +105,8 @@ def measures(text: str | None, hashing: bool = True):
     shapes = np.bincount(codes & (BUCKETS - 1), minlength=BUCKETS)
     hashed += np.sqrt(shapes / n)
     for slots, value in zip(_SLOTS, values, strict=True):
-        hashed[slots[int(math.sqrt(value) * 8)]] += 1
+        if value == value:
+            hashed[slots[int(math.sqrt(value) * 8)]] += 1
     return values, hashed
 
 
@@ -110,13 +114,15 @@ _SLOTS = [[zlib.crc32(f"{name}:{step}".encode()) % BUCKETS for step in range(9)]
 
 
 def votes(values) -> str:
-    return "".join(str(JUNK if v >= junk else FINE if v <= fine else NONE) for v, (fine, junk) in zip(values, LABELLERS.values(), strict=True))
+    """A digit for each labeller; between its bounds it is undecided (which may tell of junk too), without a share it abstains."""
+    return "".join(str(JUNK if v >= junk else FINE if v <= fine else NONE if v == v else UNDEFINED) for v, (fine, junk) in zip(values, LABELLERS.values(), strict=True))
 
 
 def expectation_maximisation(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], dict]:
     """Posterior of `fine` for each vote pattern, and the fitted model.
 
-    Votes are taken as independent given the class. The start says that a junk vote is right nine times in ten.
+    Votes are taken as independent given the class; who abstains (UNDEFINED) says nothing of either class. The start says
+    that a junk vote is right nine times in ten.
     """
     import numpy as np
 
@@ -131,9 +137,9 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 200) -> tup
     for _ in range(rounds):
         weight = np.stack([(1 - fine) * seen, fine * seen])
         prior = (weight.sum(1) + 1) / (seen.sum() + 2)
-        rates = np.stack([[(weight[c][:, None] * (cast == v)).sum(0) + 0.5 for v in range(3)] for c in range(2)])
+        rates = np.stack([[(weight[c][:, None] * (cast == v)).sum(0) + 0.5 for v in (JUNK, FINE, NONE)] for c in range(2)])
         rates /= rates.sum(1, keepdims=True)
-        logs = np.log(prior)[:, None] + np.array([[sum(math.log(rates[c, v, i]) for i, v in enumerate(row)) for row in cast] for c in range(2)])
+        logs = np.log(prior)[:, None] + np.array([[sum(math.log(rates[c, v, i]) for i, v in enumerate(row) if v != UNDEFINED) for row in cast] for c in range(2)])
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
         done, fine = np.abs(new - fine).max() < 1e-9, new
         if done:
@@ -211,9 +217,9 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     patterns = {r["votes"]: r["n"] for r in cells.groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     posteriors, model = expectation_maximisation(patterns)
     junk = [v for v, p in posteriors.items() if p < 0.5]
-    cells = cells.withColumn("junk", F.col("votes").isin(junk))
-    first = Window.partitionBy("junk").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id")
-    sample = cells.withColumn("at", F.row_number().over(first)).where(F.col("at") <= train_rows // 2).select("doc_id", "votes")
+    # each task sorts out its own first rows, and only those meet
+    first = lambda part: part.orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(train_rows // 2).select("doc_id", "votes")
+    sample = first(cells.where(F.col("votes").isin(junk))).union(first(cells.where(~F.col("votes").isin(junk))))
     rows = plain.join(F.broadcast(sample), "doc_id").select("doc_id", "text").mapInArrow(_feature_rows, "doc_id long, features array<float>").join(F.broadcast(sample), "doc_id")
     got = rows.orderBy("doc_id").limit(train_rows).toArrow()  # train_rows * BUCKETS floats at most
     if got.num_rows:
@@ -227,7 +233,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs(text, ...) with votes, weak_label and score for every row, which replace columns of those names.
 
-    Null, empty and wordless texts have no junk votes. Other columns pass through; repeated rows are scored each.
+    Null, empty and wordless texts get no votes, so the prior decides. Other columns pass through; repeated rows are
+    scored each.
     """
     plain = docs.drop(*ADDED)
     schema = StructType([*plain.schema.fields, StructField("votes", StringType()), StructField("weak_label", DoubleType()), StructField("score", DoubleType())])
@@ -235,8 +242,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def accepted() -> Column:
-    """Kept: the scorer and the weak label do not both call it junk."""
-    return (F.col("score") >= KEEP_AT) | (F.col("weak_label") >= KEEP_AT)
+    """Kept: the scorer, which the weak labels have trained, does not call it junk."""
+    return F.col("score") >= KEEP_AT
 
 
 def op2_quality(spark, sf_dir):

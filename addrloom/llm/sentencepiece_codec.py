@@ -30,7 +30,7 @@ DROPOUT, SEED = 0.1, 17
 SCANNED = 24  # characters of a unit that is segmented without a heap
 MAX_UNIT = 200  # characters; longer units are segmented anew each time
 _UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-_STANDIN = "\ue000"  # a private character in place of a mark that the text itself holds
+_STANDIN = "\udc80"  # in place of a mark that the text itself holds; no text of UTF-8 has a lone surrogate
 
 
 class Codec:
@@ -205,32 +205,14 @@ class Codec:
         from itertools import chain
 
         keys = keys if isinstance(keys, list) else [keys] * len(texts)
-        lists = []
-        for text in texts:
-            if _STANDIN in text:  # that character is no piece: its bytes are spelled by the plain path below
-                lists.append(None)
-            else:
-                escaped = text.replace(MARK, _STANDIN).replace(" ", MARK)
-                lists.append(_UNITS.findall(MARK + escaped) if text else [])
-        first = first_draws([(seed, key) for key in keys], [len(x or ()) for x in lists]) if dropout else None
-        found, at, out = self.encode_units(list(chain.from_iterable(x for x in lists if x)), first, dropout), 0, []
-        for text, key, units in zip(texts, keys, lists, strict=True):
-            if units is None:
-                parts = text.split(_STANDIN)
-                got = self.encode_texts(parts[:1], seed, key, dropout)
-                mark = self.ids_of([MARK]) if MARK in self.rank else b""
-                # a part after the first must not bring the mark that encoding puts in front
-                out.append((got[0] or mark) + b"".join(self._bytes(_STANDIN + p) for p in parts[1:]))
-            else:
-                out.append(b"".join(found[at : at + len(units)]))
-                at += len(units)
+        lists = [_UNITS.findall(MARK + text.replace(MARK, _STANDIN).replace(" ", MARK)) if text else [] for text in texts]
+        first = first_draws([(seed, key) for key in keys], [len(x) for x in lists]) if dropout else None
+        found, at, out = self.encode_units(list(chain.from_iterable(lists)), first, dropout), 0, []
+        for units in lists:
+            out.append(b"".join(found[at : at + len(units)]))
+            at += len(units)
         return out
 
-    def _bytes(self, text: str) -> bytes:
-        from array import array
-
-        return array("I", [self.bytes_at[b] for b in text.encode()]).tobytes()
-
     def decode(self, ids: bytes) -> str:
         """The text of ids; what is no UTF-8 is replaced. The mark put in front is taken away."""
         from array import array

@@ -39,17 +39,22 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], grow_by: float | N
 
     Rows with equal keys get the same shard; slots follow (cell, key, a hash of the row), cell being a hash of the
     key. Narrow df before calling: its columns travel through one shuffle. A null key counts as ''. No rows: no rows.
+    Columns of df named shard, slot or grown_shard are replaced (the key must not be one of them).
     """
+    if key in ("shard", "slot", "grown_shard"):
+        raise ValueError(f"the key {key} would be replaced by the result")
+    df = df.drop("shard", "slot", "grown_shard")
+    _cell, _n, _start, _rank = (name + "_" * (1 + max(map(len, df.columns))) for name in ("cell", "n", "start", "rank"))
     grown = rendezvous(F.col(key), [*weights, grow_by]) if grow_by else F.lit(None).cast("int")
     cell = F.conv(F.substring(F.md5(F.concat(F.lit("cell:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("bigint") % cells
-    placed = df.withColumns({"shard": rendezvous(F.col(key), weights), "grown_shard": grown, "_cell": cell})
-    counts = placed.groupBy("shard", "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_cell").orderBy(F.col(key).asc(), F.xxhash64(*df.columns))
-    ranked = placed.withColumn("_rank", F.row_number().over(inside) - F.lit(1))
-    joined = ranked.join(F.broadcast(starts), ["shard", "_cell"])  # len(weights) * cells rows at most
-    return joined.withColumn("slot", (F.col("_start") + F.col("_rank")).cast("bigint")).select(*df.columns, "shard", "slot", "grown_shard")
+    placed = df.withColumns({"shard": rendezvous(F.col(key), weights), "grown_shard": grown, _cell: cell})
+    counts = placed.groupBy("shard", _cell).agg(F.count("*").alias(_n))
+    before = Window.partitionBy("shard").orderBy(_cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", _cell, F.coalesce(F.sum(_n).over(before), F.lit(0)).alias(_start))
+    inside = Window.partitionBy("shard", _cell).orderBy(F.col(key).asc(), F.xxhash64(*df.columns))
+    ranked = placed.withColumn(_rank, F.row_number().over(inside) - F.lit(1))
+    joined = ranked.join(F.broadcast(starts), ["shard", _cell])  # len(weights) * cells rows at most
+    return joined.withColumn("slot", (F.col(_start) + F.col(_rank)).cast("bigint")).select(*df.columns, "shard", "slot", "grown_shard")
 
 
 def op4_sharding(spark, sf_dir):
