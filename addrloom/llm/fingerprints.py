@@ -79,60 +79,76 @@ def likeness(one: Column, other: Column, samples: int = SAMPLES) -> Column:
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, words: int = WORDS) -> DataFrame:
-    """(doc_id, fingerprint) of docs(doc_id, text). Null and empty texts: ''. Equal texts: equal strings.
+    """(doc_id, fingerprint) of every row of docs(doc_id, text). Null and empty texts: ''. Equal texts: equal strings.
 
-    doc_id must be unique: rows that repeat it are fingerprinted as one bag. Other columns are ignored.
+    Rows that repeat a doc_id, or have none, are fingerprinted each by its text. Other columns are ignored.
     """
-    split = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", word_array(F.col("text")).alias("words"))
-    terms = split.select("doc_id", F.explode_outer(shingle_hashes(F.col("words"), words)).alias("term"))
-    weights = terms.groupBy("doc_id", "term").agg(F.count("term").alias("w"))
-    packed = packed_samples(weights, "doc_id", {"own": "w"}, samples)
-    return packed.select("doc_id", signature("own", samples).alias("fingerprint"))
+    keyed = keyed_rows(docs)
+    copies = keyed.groupBy("key").agg(F.count("*").alias("copies"))
+    split = keyed.dropDuplicates(["key"]).select("key", word_array(F.col("text")).alias("words"))
+    terms = split.select("key", F.explode_outer(shingle_hashes(F.col("words"), words)).alias("term"))
+    weights = terms.groupBy("key", "term").agg(F.count("term").alias("w"))
+    packed = packed_samples(weights, "key", {"own": "w"}, samples)
+    return repeated(packed.join(copies, "key")).select("key.doc_id", signature("own", samples).alias("fingerprint"))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(key, text) of docs: key = (doc_id, a hash of the text), which tells rows with one doc_id, or without, apart."""
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return plain.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("key"), "text")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as its `copies` say."""
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "copies")
 
 
 def edited_pairs(docs: DataFrame, samples: int = SAMPLES, words: int = WORDS) -> DataFrame:
     """Fingerprints of each text and of its edit: the last quarter of its code points gives way to the next's first ones.
 
     The next document is the next in ascending doc_id, after the last the first; n = floor(n_chars / 4) code points go,
-    the next document's first n (or all) come. Null texts are empty; doc_id must be unique and not null. A text and its
-    edit share the shingles before the cut, which are drawn once with both weights.
+    the next document's first n (or all) come. Null texts are empty. A null doc_id comes first; different texts with one
+    doc_id follow each other by a hash; rows that repeat both are one document and get its row each. A text and its edit
+    share the shingles before the cut, which are drawn once with both weights.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     from .common import materialize, successor
 
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = successor(plain.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars")), "doc_id", [])
-    ids = materialize(ids, "order")
-    before = ids.select(F.col("next_doc_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 4).alias("prev_cut"))
-    heads = plain.join(before, "doc_id").select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, cast(prev_cut as int))").alias("head"))
+    plain = keyed_rows(docs)
+    ids = plain.groupBy("key").agg(F.max(F.char_length("text").cast("bigint")).alias("n_chars"), F.count("*").alias("copies"))
+    ids = materialize(successor(ids, "key", []), "order")
+    if not ids.where("copies > 1").isEmpty():
+        plain = plain.dropDuplicates(["key"])
+    before = ids.select(F.col("next_key").alias("key"), F.col("key").alias("prev"), F.floor(F.col("n_chars") / 4).alias("prev_cut"))
+    heads = plain.join(before, "key").select(F.col("prev").alias("key"), F.expr("substring(text, 1, cast(prev_cut as int))").alias("head"))
     cut = F.floor(F.char_length("text") / 4)
     both = (
-        plain.join(heads, "doc_id")
+        plain.join(heads, "key")
         .withColumn("common", F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"))
         .withColumn("edited", F.when(cut > 0, F.concat("common", "head")).otherwise(F.col("text")))
     )
     # the two readers of `both` share its exchange
-    facts = both.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    facts = both.select("key", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     split = both.select(
-        "doc_id",
+        "key",
         word_array(F.col("text")).alias("own"),
         word_array(F.col("edited")).alias("new"),
         # shingles that end before the last, perhaps cut, word of the common part
         F.greatest(F.size(word_array(F.col("common"))) - F.lit(words), F.lit(0)).alias("shared"),
     )
-    hashed = split.select("doc_id", "shared", shingle_hashes(F.col("own"), words).alias("own"), shingle_hashes(F.col("new"), words).alias("new"))
+    hashed = split.select("key", "shared", shingle_hashes(F.col("own"), words).alias("own"), shingle_hashes(F.col("new"), words).alias("new"))
     flagged = F.concat(
         F.transform("own", lambda t, i: F.struct(t.alias("term"), F.lit(1).alias("w"), F.when(i < F.col("shared"), 1).otherwise(0).alias("e"))),
         F.transform(F.expr("slice(new, shared + 1, size(new))"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("w"), F.lit(1).alias("e"))),
     )
-    terms = hashed.select("doc_id", F.inline_outer(flagged))
-    weights = terms.groupBy("doc_id", "term").agg(F.sum("w").alias("w"), F.sum("e").alias("e"))
-    packed = packed_samples(weights, "doc_id", {"own": "w", "new": "e"}, samples)
-    prints = packed.select("doc_id", signature("own", samples).alias("fingerprint"), signature("new", samples).alias("edited_fingerprint"))
-    found = materialize(prints.join(facts, "doc_id"), "fingerprints")
-    after = ids.select("doc_id", "next_doc_id").join(found.select(F.col("doc_id").alias("next_doc_id"), F.col("fingerprint").alias("next_fingerprint")), "next_doc_id")
-    return found.join(after.select("doc_id", "next_fingerprint"), "doc_id").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    terms = hashed.select("key", F.inline_outer(flagged))
+    weights = terms.groupBy("key", "term").agg(F.sum("w").alias("w"), F.sum("e").alias("e"))
+    packed = packed_samples(weights, "key", {"own": "w", "new": "e"}, samples)
+    prints = packed.select("key", signature("own", samples).alias("fingerprint"), signature("new", samples).alias("edited_fingerprint"))
+    found = materialize(prints.join(facts, "key"), "fingerprints")
+    after = ids.select("key", "next_key", "copies").join(found.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint")), "next_key")
+    return repeated(found.join(after.select("key", "next_fingerprint", "copies"), "key")).select(
+        "key.doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
     )
