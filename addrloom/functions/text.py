@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: what counts as a candidate phone number.
 PHONE = r"(?:\+?84|0)[\d .\-]{8,13}"
 NORMALIZER = "com.ibm.icu.text.Normalizer"
 
@@ -46,6 +47,13 @@ def phones(text: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"\D", ""), "^84", "0"))
 
 
+def masked_phones(text: Column) -> Column:
+    """The text with each candidate phone number as 0 and an x for every further digit (a leading 84 read as 0)."""
+    masks = F.transform(phones(text), lambda d: F.concat(F.lit("0"), F.call_function("repeat", F.lit("x"), F.char_length(d) - 1)))
+    between = F.split(F.coalesce(text, F.lit("")), PHONE, -1)
+    return F.array_join(F.zip_with(between, masks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def first_phone(text: Column) -> Column:
     good = F.filter(phones(text), lambda d: d.startswith("0") & F.char_length(d).between(10, 11))
     return F.get(good, F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import admin as A
 from ..operators import gazetteer as G
 from ..operators import records as R
 
@@ -57,18 +58,16 @@ def phone_extract(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.first_phone(F.col("text")).alias("phone")).where("phone is not null")
 
 
-@query("SELECT a.doc_id, b.n FROM documents a JOIN (SELECT lower(text) AS k, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) b ON lower(a.text) = b.k WHERE a.doc_id % 2 = 1")
+@query("SELECT c_custkey, n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def cache_hit(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("k"))
-    cache = docs.where("doc_id % 2 = 0").groupBy("k").agg(F.count("*").alias("n"))
-    return R.split_by_cache(docs.where("doc_id % 2 = 1"), cache, "k")[0].select("doc_id", "n")
+    cache = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return R.split_by_cache(_read(spark, sf_dir, "customer").select("c_custkey"), cache, "c_custkey")[0]
 
 
-@query("SELECT a.doc_id FROM documents a WHERE a.doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 0 AND lower(a.text) = lower(b.text))")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def cache_miss(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("k"))
-    cache = docs.where("doc_id % 2 = 0").select("k").distinct()
-    return R.split_by_cache(docs.where("doc_id % 2 = 1"), cache, "k")[1].select("doc_id")
+    cache = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return R.split_by_cache(_read(spark, sf_dir, "customer").select("c_custkey"), cache, "c_custkey")[1]
 
 
 @query("""SELECT user_id, arg_max(value, event_id) FILTER (WHERE value > 5) AS value, arg_max(event_type, event_id) AS event_type, count(*) AS n
@@ -150,3 +149,74 @@ def gazetteer_match(spark, sf_dir):
     text = F.concat(F.lit("Số 7, tỉnh "), F.col("n_name"))
     rows = _read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("row_id"), text.alias("text"))
     return G.named_units(rows, gazetteer_aliases(spark, sf_dir))
+
+
+_SQL_BASE = rf"regexp_replace(regexp_replace({_SQL_NORM}, '^(thanh pho|tinh|quan|huyen|thi xa|thi tran|phuong|xa)\s+', ''), '\b0([0-9])\b', '\1', 'g')"
+_SQL_PHONE = r"'(?:\+?84|0)[0-9 .\-]{8,13}'"
+
+
+@query(f"SELECT doc_id, {_SQL_BASE.format('text')} AS base FROM documents")
+def base_name(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.base_name(F.col("text")).alias("base"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, string_split_regex(coalesce(text, ''), {_SQL_PHONE}) AS parts, list_transform(regexp_extract_all(coalesce(text, ''), {_SQL_PHONE}),
+  lambda x: regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^84', '0')) AS d FROM documents)
+SELECT doc_id, array_to_string(list_transform(generate_series(1, len(parts)), lambda i: parts[i] || coalesce('0' || repeat('x', len(d[i]) - 1), '')), '') AS masked FROM f""")
+def phone_mask(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.masked_phones(F.col("text")).alias("masked"))
+
+
+def _units(spark, sf_dir):
+    """Regions as provinces, nations as districts, suppliers as wards."""
+    level = lambda table, uid, name, *parent: _read(spark, sf_dir, table).select(F.col(uid).alias("uid"), F.col(name).alias("name"), F.col(uid).alias("ord"), *[F.col(p).alias("parent") for p in parent])
+    return level("region", "r_regionkey", "r_name"), level("nation", "n_nationkey", "n_name", "n_regionkey"), level("supplier", "s_suppkey", "s_name", "s_nationkey")
+
+
+def _labelled(spark, sf_dir):
+    """Customers with the labels of their nation and of the supplier of their number, which may be of another nation."""
+    rows = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.join(_read(spark, sf_dir, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "left")
+    named = lambda word, c: F.concat(F.lit(word), F.lower(c))
+    return rows.select("c_custkey", named("Tỉnh ", "r_name").alias("province"), named("HUYỆN ", "n_name").alias("district"), named("xã ", "s_name").alias("ward"))
+
+
+_SQL_FOUND = """SELECT c_custkey, r_regionkey, r_name AS province_name, n_name AS district_name, CASE WHEN s_nationkey = c_nationkey THEN s_name END AS ward_name, s_acctbal FROM customer
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_suppkey = c_custkey"""
+
+
+@query(f"SELECT c_custkey, province_name, district_name, ward_name FROM ({_SQL_FOUND})")
+def hierarchy_lookup(spark, sf_dir):
+    return A.lookup_units(_labelled(spark, sf_dir), *_units(spark, sf_dir)).select("c_custkey", "province_name", "district_name", "ward_name")
+
+
+@query(f"""SELECT c_custkey, CASE WHEN s_acctbal > 0 THEN ward_name || ' II' END AS ward_new,
+  CASE WHEN ward_name IS NOT NULL AND s_acctbal > 0 THEN 'JOINED' WHEN r_regionkey > 1 THEN province_name || ' II' END AS province_new FROM ({_SQL_FOUND})""")
+def migration_coalesce(spark, sf_dir):
+    provinces, districts, wards = _units(spark, sf_dir)
+    moved = _read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("uid"), F.expr("s_name || ' II'").alias("ward_new"), F.lit("JOINED").alias("province_new"))
+    found = A.lookup_units(_labelled(spark, sf_dir), provinces, districts, wards)
+    renamed = provinces.where("uid > 1").select("uid", F.expr("name || ' II'").alias("province_new"))
+    return A.migrated(found, moved, renamed).select("c_custkey", "ward_new", "province_new")
+
+
+@query(f"""WITH u AS (SELECT n_nationkey AS uid, {_SQL_BASE.format('n_name')} AS b FROM nation), q AS (SELECT s_suppkey, {_SQL_BASE.format('substr(n_name, 2)')} AS q FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT s_suppkey AS row_id, coalesce(min(uid) FILTER (WHERE q = b), min(uid)) AS uid FROM q JOIN u ON levenshtein(q, b) <= 1 GROUP BY 1 HAVING count(DISTINCT b) = 1 OR count(*) FILTER (WHERE q = b) > 0""")
+def snap_unit(spark, sf_dir):
+    units = _units(spark, sf_dir)[1]
+    rows = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return A.snapped(rows.select(F.col("s_suppkey").alias("row_id"), F.expr("substring(n_name, 2)").alias("name")), units)
+
+
+@query(f"""SELECT c_custkey, CASE WHEN s_acctbal < 0 THEN 'Cần kiểm tra' WHEN s_acctbal > 5000 THEN 'Cao (SĐT khách cũ)' WHEN ward_name IS NOT NULL THEN 'Cao' ELSE 'Trung bình' END AS label FROM ({_SQL_FOUND})""")
+def confidence_label(spark, sf_dir):
+    found = A.lookup_units(_labelled(spark, sf_dir), *_units(spark, sf_dir)).join(_read(spark, sf_dir, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "left")
+    label = A.confidence_label(F.col("ward_name"), F.col("province_name"), F.lit(False), F.col("s_acctbal") > 5000, F.col("s_acctbal") < 0)
+    return found.select("c_custkey", label.alias("label"))
+
+
+@query(rf"""WITH k AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace({_SQL_NORM.format('text')}, '{A.SORT_PREFIX}', ''), '[0-9]+|[^0-9]+'),
+  lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN '0' || lpad(len(CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END)::VARCHAR, 6, '0') || CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END ELSE '1' || p END) AS k FROM documents)
+SELECT doc_id, CASE WHEN len(k) = 0 THEN '~' ELSE array_to_string(k, chr(9)) END AS sort_text FROM k""")
+def natural_sort(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", A.sort_text(F.col("text")).alias("sort_text"))

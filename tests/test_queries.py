@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from addrloom.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "nation supplier customer part orders events documents".split()
+TABLES = "region nation supplier customer part orders events documents".split()
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +30,22 @@ def test_equals_sql(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """A copy without the corpus folders (and with or without the pipeline's file) still lists all other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "addrloom", tmp_path / "addrloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), len(e.queries()))"
+    for _ in range(2):
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+        assert done.stdout.split() == ["True", str(len(QUERIES))], done.stderr
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
