@@ -143,7 +143,7 @@ def numpy():
     return numpy
 
 
-BITMAP_WORDS = 1 << 17  # of 64 bits: 1 MB, however many keys there are
+BITMAP_WORDS = 1 << 17  # of 64 bits, a power of two: 1 MB, however many keys there are
 
 
 def only_near(df: DataFrame, key: str, wanted: DataFrame, words: int = BITMAP_WORDS) -> DataFrame:
@@ -151,9 +151,11 @@ def only_near(df: DataFrame, key: str, wanted: DataFrame, words: int = BITMAP_WO
 
     False positives pass, so join with wanted afterwards; what it saves is the shuffle of rows that cannot match.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
-    bits = wanted.select(place(F.col(wanted.columns[0])).alias("_b")).groupBy(F.floor(F.col("_b") / 64).alias("_word"))
-    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(_b % 64 as int))")).alias("_bits"))
-    rows = df.withColumn("_b", place(F.col(key))).withColumn("_word", F.floor(F.col("_b") / 64))
-    rows = rows.join(F.broadcast(bits), "_word").where("(shiftrightunsigned(_bits, cast(_b % 64 as int)) & 1L) = 1L")
+    # bit operations are never null, so the join adds no filter that would compute the key a second time
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(words * 64 - 1))
+    word = F.shiftrightunsigned(F.col("_b"), 6).alias("_word")
+    bits = wanted.select(place(F.col(wanted.columns[0])).alias("_b")).groupBy(word)
+    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 as int))")).alias("_bits"))
+    rows = df.withColumn("_b", place(F.col(key))).withColumn("_word", word)
+    rows = rows.join(F.broadcast(bits), "_word").where("(shiftrightunsigned(_bits, cast(_b & 63 as int)) & 1L) = 1L")
     return rows.drop("_b", "_word", "_bits")
