@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import address as D
 from ..functions import text as T
 from ..operators import admin as A
 from ..operators import gazetteer as G
 from ..operators import records as R
+from ..operators import review as V
 
 PENALTIES = {"SMALL": 0.05, "LARGE": 0.2, "CHEAP": 0.0}
 _SQL_NORM = "trim(regexp_replace(strip_accents(replace(replace(lower(coalesce({0}, '')), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9]+', ' ', 'g'))"
@@ -220,3 +222,164 @@ def confidence_label(spark, sf_dir):
 SELECT doc_id, CASE WHEN len(k) = 0 THEN '~' ELSE array_to_string(k, chr(9)) END AS sort_text FROM k""")
 def natural_sort(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", A.sort_text(F.col("text")).alias("sort_text"))
+
+
+# Every document with one of five endings that flags depend on.
+_ENDINGS = ["", " nay thuộc tỉnh Y", " xã cũ", " xã cũ và mới", " trụ sở"]
+_SQL_ENDED = f"SELECT doc_id, coalesce(text, '') || [{', '.join(repr(e) for e in _ENDINGS)}][(doc_id % 5 + 1)::INTEGER] AS text FROM documents"
+
+
+def _ended(spark, sf_dir):
+    ending = F.get(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % 5).cast("int"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), ending).alias("text"))
+
+
+@query(rf"""WITH d AS ({_SQL_ENDED}), f AS (SELECT doc_id, text, len(list_filter(list_transform(regexp_extract_all(text, {_SQL_PHONE}),
+  lambda x: regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^84', '0')), lambda d: d[1] = '0' AND len(d) BETWEEN 10 AND 11)) > 0
+  OR regexp_matches(text, '(^|[^0-9])0[0-9]{{8,10}}([^0-9]|$)') AS phone FROM d)
+SELECT doc_id, CASE WHEN trim(text) = '' THEN 'NO_POI_FOUND,NO_LEVEL4_FOUND,LOW_CONFIDENCE' ELSE array_to_string(list_filter([CASE WHEN phone THEN 'RAW_CONTAINS_PHONE' END,
+  CASE WHEN doc_id % 5 IN (1, 2, 3) THEN 'ADMIN_VERSION_AMBIGUOUS' END, CASE WHEN doc_id % 5 IN (1, 2, 3) THEN 'NEED_REVIEW_ADMIN_VERSION' END, CASE WHEN doc_id % 5 = 1 THEN 'RAW_CONTAINS_NAY_THUOC' END,
+  CASE WHEN doc_id % 5 = 3 THEN 'RAW_HAS_OLD_AND_NEW_ADDRESS' END, CASE WHEN doc_id % 5 = 4 THEN 'TRU_SO_DETECTED' END], lambda x: x IS NOT NULL), ',') END AS flags FROM f""")
+def raw_flags(spark, sf_dir):
+    return _ended(spark, sf_dir).select("doc_id", F.array_join(D.raw_flags(F.col("text"), T.first_phone(F.col("text"))), ",").alias("flags"))
+
+
+_RAISED = [
+    ("p_size < 10", "MULTIPLE_POI_FOUND"), ("p_size > 40", "RAW_ADMIN_CONFLICT_WITH_COLUMNS"), ("p_retailprice < 950", "ORDER_CODE_REMOVED"),
+    ("p_partkey % 7 = 0", "MISSING_ADMIN_COLUMN"), ("p_partkey % 11 = 0", "LLM_SKIPPED_QUOTA"), ("p_partkey % 4 = 0", "ADMIN_NEW_FORMAT"),
+]
+
+
+def _results(spark, sf_dir):
+    """Parts as parsed records: the name's words are details, every third has none; the brand's first part is the first of its copies."""
+    part = _read(spark, sf_dir, "part")
+    flags = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(f)) for c, f in _RAISED]))
+    poi, level4 = F.expr("if(p_partkey % 3 = 0, '', p_name)"), F.expr("if(p_partkey % 2 = 0, '', p_type)")
+    rows = part.select(F.col("p_partkey").alias("row_id"), poi.alias("poi"), level4.alias("level4"), flags.alias("flags"), F.col("p_name").alias("raw"), F.expr("p_partkey % 3 <> 0").alias("has_detail"))
+    named = rows.withColumn("first", F.expr("row_id - if(row_id % 10 = 9, 1, 0)")).withColumn("parts", F.expr("cast(row_id % 3 as int)"))
+    return named.withColumn("ward", F.lit("w")).withColumn("district", F.expr("if(row_id % 5 = 0, '', 'd')")).withColumn("province", F.lit("p"))
+
+
+def _sql_flag(name):
+    return next(c for c, f in _RAISED if f == name)
+
+
+_SQL_COST = " - ".join(f"CASE WHEN {c} THEN {V.PENALTIES.get(f, 0.03)}::DOUBLE ELSE 0::DOUBLE END" for c, f in _RAISED)
+
+
+@query(f"""SELECT p_partkey AS row_id, greatest(0::DOUBLE, round(1::DOUBLE - CASE WHEN p_partkey % 3 = 0 THEN 0.05::DOUBLE ELSE 0::DOUBLE END
+  - CASE WHEN p_partkey % 2 = 0 THEN 0.05::DOUBLE ELSE 0::DOUBLE END - {_SQL_COST}, 3)) AS score FROM part""")
+def result_score(spark, sf_dir):
+    return _results(spark, sf_dir).select("row_id", V.result_score(F.col("poi"), F.col("level4"), F.col("flags")).alias("score"))
+
+
+@query(f"""SELECT p_partkey AS row_id, CASE WHEN {_sql_flag("MULTIPLE_POI_FOUND")} THEN 'SEND_LLM' WHEN {_sql_flag("MISSING_ADMIN_COLUMN")} THEN 'REVIEW_MANUAL'
+  WHEN {_sql_flag("RAW_ADMIN_CONFLICT_WITH_COLUMNS")} THEN 'ACCEPT_RULE_WITH_FLAGS' ELSE 'ACCEPT_RULE' END AS route FROM part""")
+def route_record(spark, sf_dir):
+    return _results(spark, sf_dir).select("row_id", V.route(F.col("flags"), F.col("raw")).alias("route"))
+
+
+@query(f"""SELECT p_partkey AS row_id, array_to_string(list_filter([CASE WHEN {_sql_flag("MISSING_ADMIN_COLUMN")} THEN 'Thiếu/không khớp cột hành chính' END,
+  CASE WHEN {_sql_flag("LLM_SKIPPED_QUOTA")} THEN 'Dòng mơ hồ chưa qua LLM (hết quota)' END,
+  CASE WHEN {_sql_flag("RAW_ADMIN_CONFLICT_WITH_COLUMNS")} THEN 'Raw mâu thuẫn với cột hành chính' END], lambda x: x IS NOT NULL), '; ') AS reasons,
+  CASE WHEN p_partkey % 3 <> 0 THEN NULL ELSE 'Không bóc được POI/tên đường/cấp 4 từ địa chỉ thô' || CASE WHEN {_sql_flag("LLM_SKIPPED_QUOTA")} THEN '; dòng mơ hồ chưa qua LLM (hết quota)'
+  WHEN {_sql_flag("MULTIPLE_POI_FOUND")} THEN '; dòng mơ hồ cần LLM (Cerebras chưa bật)' ELSE '' END END AS dropped FROM part""")
+def review_reasons(spark, sf_dir):
+    dropped = V.drop_reason(F.col("raw"), F.col("flags"), F.col("has_detail"), model_on=False)
+    return _results(spark, sf_dir).select("row_id", V.review_reasons(F.col("flags")).alias("reasons"), dropped.alias("dropped"))
+
+
+_SQL_STATS = """SELECT count(*) AS input_n, count(*) FILTER (WHERE p_partkey % 10 = 9) AS duplicates, count(*) FILTER (WHERE p_partkey % 10 <> 9) AS unique_n,
+  count(*) FILTER (WHERE p_partkey % 10 <> 9 AND p_partkey % 3 = 0) AS removed, (coalesce(sum(p_partkey % 3) FILTER (WHERE p_partkey % 10 <> 9), 0))::BIGINT AS output_n,
+  (coalesce(sum(p_partkey % 3) FILTER (WHERE p_partkey % 10 <> 9 AND (p_partkey % 5 <> 0 OR p_partkey % 4 = 0)), 0))::BIGINT AS full_admin,
+  count(*) FILTER (WHERE p_partkey % 10 <> 9 AND p_partkey % 4 = 0) AS mapped_new,
+  count(*) FILTER (WHERE p_partkey % 10 <> 9 AND (p_size > 40 OR p_partkey % 7 = 0 OR p_partkey % 11 = 0)) AS review_n FROM part"""
+
+
+@query(_SQL_STATS)
+def run_stats(spark, sf_dir):
+    return V.run_stats(_results(spark, sf_dir))
+
+
+@query(f"WITH s AS ({_SQL_STATS}) " + " UNION ALL ".join(f"SELECT {i} AS position, '{label}' AS label, {name} AS value FROM s" for i, (name, label) in enumerate(V.STATS.items())))
+def stats_sheet(spark, sf_dir):
+    return V.stats_sheet(run_stats(spark, sf_dir))
+
+
+_SQL_REQUEST = f"{_SQL_NORM.format('text')} || chr(9) || {_SQL_NORM.format('lang')} || chr(9) || {_SQL_NORM.format('source')} || chr(9)"
+
+
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_SQL_REQUEST}) AS first FROM documents")
+def request_pointer(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("raw"), F.col("lang").alias("ward"), F.col("source").alias("district"), F.lit(None).cast("string").alias("province"))
+    return V.request_pointer(docs).select(F.col("row_id").alias("doc_id"), "first")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size < 10 THEN p_name ELSE p_brand END AS "primary", CASE WHEN p_size < 10 THEN p_brand ELSE p_name END AS sub FROM part""")
+def level4_primary(spark, sf_dir):
+    items = F.array(F.struct(F.lit("to").alias("type"), F.col("p_brand").alias("value")), F.struct(F.when(F.col("p_size") < 10, "ap").otherwise("xom").alias("type"), F.col("p_name").alias("value")))
+    return _read(spark, sf_dir, "part").select("p_partkey", V.level4_primary(items).alias("x")).select("p_partkey", "x.*")
+
+
+_SQL_NEW = "c_custkey % 3 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 2 = 0"
+_SQL_AGAIN = "c_custkey % 15 = 0 AND c_custkey % 7 <> 0"
+_SQL_TOLD = f"c_custkey % 3 = 0 AND c_custkey % 7 = 0 AND NOT ({_SQL_NEW})"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN {_SQL_NEW} OR {_SQL_AGAIN} THEN 'Phường ' || n_name WHEN c_custkey % 5 = 0 THEN 'phường ' || n_name WHEN c_custkey % 2 = 0 THEN 'phường ' || lower(n_name) ELSE 'xã lạ' END AS ward,
+  CASE WHEN c_custkey % 3 <> 0 THEN n_name WHEN {_SQL_TOLD} THEN 'Huyện Chữ' ELSE '' END AS district, r_name AS province,
+  array_to_string(list_filter([CASE WHEN {_SQL_NEW} THEN 'ADMIN_NEW_FORMAT' END, CASE WHEN c_custkey % 5 = 0 OR {_SQL_TOLD} THEN 'ADMIN_FILLED_FROM_RAW' END, CASE WHEN {_SQL_AGAIN} THEN 'ADMIN_NEW_FORMAT' END,
+  CASE WHEN c_custkey % 3 = 0 AND NOT ({_SQL_TOLD}) AND NOT ({_SQL_NEW}) AND NOT ({_SQL_AGAIN}) THEN 'MISSING_ADMIN_COLUMN' END], lambda x: x IS NOT NULL), ',') AS flags
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def resolve_admin(spark, sf_dir):
+    provinces, districts, wards = _units(spark, sf_dir)
+    nation = _read(spark, sf_dir, "nation")
+    rows = _read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(provinces, F.col("n_regionkey") == F.col("uid"))
+    ward = F.expr("case when c_custkey % 5 = 0 then '' when c_custkey % 2 = 0 then 'phường ' || lower(n_name) else 'xã lạ' end")
+    district = F.expr("case when c_custkey % 3 <> 0 then 'HUYỆN ' || lower(n_name) end")
+    parsed = [F.expr("'phường ' || n_name").alias("parsed_ward"), F.expr("if(c_custkey % 7 = 0, 'Huyện Chữ', null)").alias("parsed_district"), F.lit("").alias("parsed_province")]
+    rows = rows.select("c_custkey", ward.alias("ward"), district.alias("district"), F.concat(F.lit("Tỉnh "), F.lower("name")).alias("province"), *parsed)
+    new_wards = nation.select(F.col("n_nationkey").alias("uid"), F.concat(F.lit("Phường "), "n_name").alias("name"), F.col("n_nationkey").alias("ord"), F.col("n_regionkey").alias("parent"))
+    out = A.resolved(A.lookup_units(rows, provinces, districts, wards), provinces, new_wards)
+    return out.select("c_custkey", F.col("clean_ward").alias("ward"), F.col("clean_district").alias("district"), F.col("clean_province").alias("province"), F.array_join("admin_flags", ",").alias("flags"))
+
+
+@query("""WITH e AS (SELECT n_nationkey, 'Tỉnh ' || r_name AS province, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 4), c AS (
+  SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'đường A' END AS street, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'EUROPE' ELSE 'ASIA' END AS province FROM customer)
+SELECT c_custkey, CASE WHEN hit AND c.street = '' THEN 'phố B' ELSE c.street END AS street, CASE WHEN hit THEN coalesce(c.province, e.province) ELSE c.province END AS province, hit AS phone_hit, bad AS conflict,
+  CASE WHEN bad THEN 'x; SĐT trùng khách cũ nhưng khác tỉnh - cần kiểm tra' WHEN hit THEN 'x; đối chiếu SĐT khách cũ' || CASE WHEN c.street = '' OR c.province IS NULL THEN ' (bổ sung từ danh bạ)' ELSE '' END ELSE 'x' END AS note
+FROM c LEFT JOIN e ON c_nationkey = n_nationkey, LATERAL (SELECT e.r_name IS NOT NULL AND coalesce(c.province <> e.r_name, false) AS bad, e.r_name IS NOT NULL AND NOT coalesce(c.province <> e.r_name, false) AS hit)""")
+def directory_enrich(spark, sf_dir):
+    empty = [F.lit(None).cast("string").alias(c) for c in ("hamlet", "ward", "district", "ward_new", "province_new")]
+    phone = lambda c: F.concat(F.lit("0912"), F.lpad(F.col(c).cast("string"), 6, "0")).alias("phone")
+    province = F.expr("case c_custkey % 3 when 1 then 'EUROPE' when 2 then 'ASIA' end").alias("province")
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", phone("c_nationkey"), F.lit("x").alias("note"), F.expr("if(c_custkey % 2 = 0, '', 'đường A')").alias("street"), province, *empty)
+    known = _read(spark, sf_dir, "nation").where("n_nationkey > 4").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    directory = known.select(phone("n_nationkey"), F.lit("phố B").alias("street"), F.concat(F.lit("Tỉnh "), "r_name").alias("province"), *empty)
+    return A.enriched(rows, directory).select("c_custkey", "street", "province", "phone_hit", "conflict", "note")
+
+
+@query(r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '\s+|/|[^\s/]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN lower(w) ELSE replace(upper(w[1]), 'ẞ', 'SS') || lower(w[2:]) END), '') AS titled,
+  array_to_string(regexp_extract_all(coalesce(text, ''), '[\pL\pN\pM]+'), ' ') AS words FROM documents""")
+def titled_words(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", D.title_case(F.col("text")).alias("titled"), F.array_join(D.words(F.col("text")), " ").alias("words"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\r\n\t]+', ', ', 'g'), '\s+', ' ', 'g'), '\s*,\s*', ', ', 'g'), ',{2,}', ',', 'g'), '^[ ,.\-]+|[ ,.\-]+$', '', 'g') AS spaced FROM documents""")
+def clean_spaces(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", D.clean_spaces(F.col("text")).alias("spaced"))
+
+
+# Texts, and for each: note, goods, customer's name, price or weight, alley only.
+_PIECES = [
+    ("giao buổi chiều nhé", 1, 0, 0, 0, 0), ("Sửa xe Tuấn Cường", 0, 1, 0, 0, 0), ("Nguyễn Thị Hoa", 0, 0, 1, 0, 0), ("Đường Nguyễn Trãi", 0, 0, 0, 0, 0), ("chị Hoa", 0, 0, 0, 0, 0),
+    ("Iphone X11", 1, 1, 0, 0, 0), ("áo size M", 1, 1, 0, 0, 0), ("390k", 0, 0, 0, 1, 0), ("10kg gạo", 0, 0, 0, 1, 0), ("số 3 ngõ 48", 0, 0, 0, 0, 0), ("ngõ 48", 0, 0, 0, 0, 1), ("hẻm 12/3a.", 0, 0, 0, 0, 1), ("ngõ 48 Ninh Hiệp", 0, 0, 0, 0, 0),
+    ("", 1, 0, 0, 0, 0), ("Trần 2 Hoa", 0, 0, 0, 0, 0), ("free ship", 1, 0, 0, 0, 0), ("Công Ty Hoa Sen", 0, 0, 0, 0, 0), ("Phạm Văn Đồng", 0, 0, 1, 0, 0),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', {})".format(p[0], ", ".join("true" if x else "false" for x in p[1:])) for p in _PIECES) + ") AS t(piece, note, goods, customer, junky, alley)")
+def piece_kinds(spark, sf_dir):
+    rows = spark.createDataFrame([(p[0],) for p in _PIECES], "piece string")
+    c = F.col("piece")
+    return rows.select("piece", D.is_note(c).alias("note"), D.has_product_note(c).alias("goods"), D.is_customer_name(c).alias("customer"), D.is_junky(c).alias("junky"), D.is_alley_only(c).alias("alley"))
