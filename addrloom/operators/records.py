@@ -55,7 +55,10 @@ def batches(df: DataFrame, order: str, size: int, most: int) -> DataFrame:
 
 
 def components(df: DataFrame, lists: list[str], key: str) -> DataFrame:
-    """One row for each distinct non-empty value of the list columns, in order; one row with a null where there is none."""
+    """One row for each distinct non-empty value of the list columns, in order; one row with a null where there is none.
+
+    Null lists are empty.
+    """
     tag = lambda c: lambda v: F.struct(F.lit(c).alias("kind"), v.alias("value"))  # noqa: E731  a second argument would be the index
-    tagged = [F.transform(F.array_distinct(F.filter(c, lambda v: v != "")), tag(c)) for c in lists]
+    tagged = [F.transform(F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda v: v != "")), tag(c)) for c in lists]
     return df.select(key, F.posexplode_outer(F.concat(*tagged)).alias("position", "item")).select(key, F.col("position").cast("bigint").alias("position"), "item.kind", "item.value")

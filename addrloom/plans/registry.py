@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import address as D
+from ..functions import segments as S
 from ..functions import text as T
 from ..operators import admin as A
 from ..operators import gazetteer as G
@@ -383,3 +384,23 @@ def piece_kinds(spark, sf_dir):
     rows = spark.createDataFrame([(p[0],) for p in _PIECES], "piece string")
     c = F.col("piece")
     return rows.select("piece", D.is_note(c).alias("note"), D.has_product_note(c).alias("goods"), D.is_customer_name(c).alias("customer"), D.is_junky(c).alias("junky"), D.is_alley_only(c).alias("alley"))
+
+
+# Texts, and what each function makes of them: abbreviations, courier phrases, segments, display.
+_REWRITES = [
+    ("expanded", "64/54 hòa bih p5q11", "64/54 hòa bih p5 q 11"), ("expanded", "Tôn Đức Thắng Ph , Hoà Khánh Bắc Q, Liên Chiểu", "Tôn Đức Thắng, Phường Hoà Khánh Bắc, Quận Liên Chiểu"),
+    ("expanded", "Phường X, Hoà Khánh", "Phường X, Hoà Khánh"), ("expanded", "tdp 5 ql1a", "Tổ Dân Phố 5 Quốc Lộ 1A"), ("expanded", "Sài Gòn180 Cao Lỗ", "Sài Gòn 180 Cao Lỗ"), ("expanded", "TrỗiKhu Phố 1B", "Trỗi Khu Phố 1B"),
+    ("expanded", "kp3 Kim Sơn1", "Khu Phố 3 Kim Sơn 1"), ("expanded", "cty Hoa Sen bv dk", "Công Ty Hoa Sen Bệnh Viện Đa Khoa"), ("expanded", "Trưng_ Phường", "Trưng, Phường"), ("expanded", "", ""), ("expanded", "ĐT.199 0912345678", "Đường Tỉnh 199 0912345678"),
+    ("without_intro", "ship đến: 12 Lê Lợi", "12 Lê Lợi"), ("without_intro", "** đc: 5 Hàng Bài", "5 Hàng Bài"), ("without_intro", "12 Lê Lợi", "12 Lê Lợi"),
+    ("segments", "02 Lê Lai . Hợp Thành", "02 Lê Lai|Hợp Thành"), ("segments", "Waterfront 2-Võ Nguyên Giáp- Lê Chân", "Waterfront 2|Võ Nguyên Giáp|Lê Chân"), ("segments", "Đường D8-5A (cũ); số 1 - 3", "Đường D8-5A|cũ|số 1-3"),
+    ("segments", "Trường TH - THCS Lê Lợi", "Trường TH-THCS Lê Lợi"), ("segments", " , .", ""),
+    ("display", "trường thcs nguyễn trãi d8a", "Trường THCS Nguyễn Trãi D8A"), ("display", "ubnd xã, công ty tnhh abc", "UBND Xã, Công ty TNHH Abc"), ("display", "trạm  y tế P9 .", "Trạm y tế P9"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{a}', '{b}')" for f, a, b in _REWRITES) + ") AS t(rewrite, given, made)")
+def rewrites(spark, sf_dir):
+    rows = spark.createDataFrame([(f, a) for f, a, _ in _REWRITES], "rewrite string, given string")
+    c = F.col("given")
+    made = F.when(F.col("rewrite") == "expanded", S.expanded(c)).when(F.col("rewrite") == "without_intro", S.without_intro(c))
+    return rows.select("rewrite", "given", made.when(F.col("rewrite") == "segments", F.array_join(S.segments(c), "|")).otherwise(S.display(c)).alias("made"))

@@ -1 +1 @@
-
+"""Record streams."""
