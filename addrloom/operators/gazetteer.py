@@ -19,6 +19,20 @@ UNIT_FORMS = {
 }
 PROVINCE_FORMS = ["tinh", "thanh pho", "tp", "t p"]
 UNIT_WORD = r"^(thanh pho|tinh|quan|huyen|thi xa|thi tran|phuong|xa)\s+(?=\S)"
+# Words after which a bare name is no unit, and those of them that a ward's name may follow.
+BLOCKING = [
+    "thon", "ap", "xom", "ban", "buon", "khu", "kp", "tdp", "to", "duong", "pho", "ngo", "ngach", "hem", "so", "sn", "cau", "cho", "doi",
+    "phuong", "xa", "tt", "tx",
+]
+BEFORE_WARDS = ["phuong", "xa", "tt", "tx"]
+# Further names of provinces, by their unit number.
+SPECIAL = {
+    "79": ["tp hcm", "tphcm", "hcm", "hcmc", "sai gon", "sg", "ho chi minh", "hochiminh"],
+    "01": ["ha noi", "hn"],
+    "48": ["da nang"],
+    "77": ["ba ria vung tau", "brvt", "vung tau"],
+    "46": ["thua thien hue", "tp hue", "thanh pho hue"],
+}
 BROADCAST_ALIASES = 200_000  # aliases are short: some 20 MB at most
 
 
@@ -52,20 +66,39 @@ def aliases(units: DataFrame) -> DataFrame:
     return rows.select("uid", F.inline(found))
 
 
-def named_units(records: DataFrame, names: DataFrame, most_words: int = 6) -> DataFrame:
+def special_aliases(units: DataFrame) -> DataFrame:
+    """(uid, alias, strong) of the provinces among units(uid, kind) that go by further names, all of them strong."""
+    table = F.create_map(*[x for uid, names in SPECIAL.items() for x in (F.lit(uid), F.array(*map(F.lit, names)))])
+    known = units.where("kind = 'province'").select("uid", F.explode(F.try_element_at(table, F.col("uid").cast("string"))).alias("alias"))
+    return known.withColumn("strong", F.lit(True))
+
+
+def blocked(before: Column, second: Column, ward: bool) -> Column:
+    """Does the word before a bare name (and the one before that) make it part of something else?"""
+    city = (before == "pho") & second.endswith("thanh")
+    words = [w for w in BLOCKING if not (ward and w in BEFORE_WARDS)]
+    return F.coalesce(before.isin(words) | before.rlike(r"^\d+$"), F.lit(False)) & ~F.coalesce(city, F.lit(False))
+
+
+def named_units(records: DataFrame, names: DataFrame, most_words: int = 6, ward: bool = False) -> DataFrame:
     """(row_id, uid, score, pos, words): every unit that a text of records(row_id, text) names, at its last place.
 
     names: (uid, alias, strong). Strong aliases score 2 and are preferred to weak ones, which score 1; a unit followed
     by 'cu' scores 3, by 'moi' 0. pos counts words. An equi-join of word windows with aliases of at most `most_words`
-    words; the aliases are broadcast only where they are few, by count. Null and empty texts name nothing.
+    words; the aliases are broadcast only where they are few, by count. Null and empty texts name nothing. Only the last
+    place of an alias counts: a weak one that follows a blocking word or a number there names nothing (ward: a ward's
+    may follow another unit word).
     """
     words = records.select("row_id", F.split(norm(F.col("text")), " ").alias("_w"))
     gram = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("_w") - i)), lambda k: F.struct(
-        i.alias("pos"), k.alias("words"), F.array_join(F.slice("_w", i + 1, k), " ").alias("alias"), F.get("_w", i + k).alias("_after")))
+        i.alias("pos"), k.alias("words"), F.array_join(F.slice("_w", i + 1, k), " ").alias("alias"), F.get("_w", i + k).alias("_after"),
+        F.get("_w", i - 1).alias("_before"), F.get("_w", i - 2).alias("_second")))
     grams = words.select("row_id", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_w") - 1), gram))))
     few = names.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES
     hits = grams.join(F.broadcast(names) if few else names, "alias")
-    best = hits.groupBy("row_id", "uid").agg(F.max(F.struct("strong", "pos", "words", "_after")).alias("b"))
+    last = hits.groupBy("row_id", "uid", "alias", "strong").agg(F.max(F.struct("pos", "words", "_after", "_before", "_second")).alias("l")).select("row_id", "uid", "strong", "l.*")
+    free = last.where(F.col("strong") | ~blocked(F.col("_before"), F.col("_second"), ward))
+    best = free.groupBy("row_id", "uid").agg(F.max(F.struct("strong", "pos", "words", "_after")).alias("b"))
     score = F.when(F.col("b._after") == "cu", 3).when(F.col("b._after") == "moi", 0).otherwise(F.when(F.col("b.strong"), 2).otherwise(1))
     return best.select("row_id", "uid", score.alias("score"), "b.pos", "b.words")
 

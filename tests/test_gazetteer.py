@@ -27,6 +27,15 @@ def test_named_units(spark):
     assert best == {1: "p2", 2: "d2", 5: "p1"}
 
 
+def test_blocked_names(spark):
+    texts = [(1, "đường Gia Lai"), (2, "Gia Lai, đường Gia Lai"), (3, "thành phố Bình Chánh"), (4, "xã Bình Chánh"), (5, "5 Bình Chánh"), (6, "phố Gia Lai, tỉnh Gia Lai"), (7, "Gia Lai")]
+    records, names = spark.createDataFrame(texts, "row_id int, text string"), G.aliases(units(spark))
+    assert {r.row_id for r in G.named_units(records, names).collect()} == {3, 6, 7}
+    assert {r.row_id for r in G.named_units(records, names, ward=True).collect()} == {3, 4, 6, 7}
+    special = spark.createDataFrame([("79", "province"), ("79", "district"), ("80", "province"), (None, "province")], "uid string, kind string")
+    assert sorted(r.alias for r in G.special_aliases(special).collect()) == sorted(G.SPECIAL["79"])
+
+
 def test_delimited(spark, tmp_path):
     path = tmp_path / "rows.csv"
     path.write_text('Địa chỉ;Phường/Xã;Quận/Huyện;Tỉnh/Thành;Ghi chú\n"1 A;B";P1;Q1;T1;x\n2 C\n', encoding="utf-8")
