@@ -404,3 +404,13 @@ def rewrites(spark, sf_dir):
     c = F.col("given")
     made = F.when(F.col("rewrite") == "expanded", S.expanded(c)).when(F.col("rewrite") == "without_intro", S.without_intro(c))
     return rows.select("rewrite", "given", made.when(F.col("rewrite") == "segments", F.array_join(S.segments(c), "|")).otherwise(S.display(c)).alias("made"))
+
+
+@query(f"""SELECT s_suppkey AS row_id, r_regionkey::VARCHAR AS province, n_nationkey::VARCHAR AS district, s_suppkey::VARCHAR AS ward,
+  CASE s_suppkey % 3 WHEN 1 THEN '{G.PROVINCE_INFERRED}' WHEN 2 THEN '{G.DISTRICT_INFERRED}' ELSE '' END AS note
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def matched_units(spark, sf_dir):
+    rows = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    parts = [F.lit("Ấp 3"), F.concat(F.lit("thị trấn "), "s_name"), F.when(F.col("s_suppkey") % 3 != 2, F.col("n_name")), F.when(F.col("s_suppkey") % 3 != 1, F.col("r_name"))]
+    records = rows.select(F.col("s_suppkey").alias("row_id"), F.concat_ws(", ", *parts).alias("text"))
+    return G.matched_units(records, G.catalogue(*_units(spark, sf_dir)))

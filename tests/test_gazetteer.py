@@ -36,6 +36,22 @@ def test_blocked_names(spark):
     assert sorted(r.alias for r in G.special_aliases(special).collect()) == sorted(G.SPECIAL["79"])
 
 
+def test_matched_units(spark):
+    """Units inside units, before them and not in their words; what one name alone tells; nulls."""
+    unit = "uid string, name string, ord int, parent string"
+    provinces = spark.createDataFrame([("p1", "Tỉnh Gia Lai", 1, None), ("p2", "Thành phố Đà Nẵng", 2, None)], unit).drop("parent")
+    districts = spark.createDataFrame([("d1", "Huyện Hòa Vang", 1, "p2"), ("d2", "Quận 5", 2, "p1"), ("d3", "Quận 5", 3, "p2")], unit)
+    wards = spark.createDataFrame([("w1", "Phường An Phú", 1, "d1"), ("w2", "Xã An Phú", 2, "d2"), ("w3", "Phường 5", 3, "d3"), ("w4", "Xã Ia Pa", 4, "d2")], unit)
+    texts = [
+        (1, "An Phú, Hòa Vang, Đà Nẵng"), (2, "An Phú, Hòa Vang"), (3, "p5 q5, Đà Nẵng"), (4, "An Phú, Quận 5"), (5, "xã Ia Pa, Gia Lai"),
+        (6, None), (7, ""), (8, "Gia Lai cũ, Hòa Vang, Đà Nẵng"), (9, "đường Gia Lai, Hòa Vang"),
+    ]
+    found = G.matched_units(spark.createDataFrame(texts, "row_id int, text string"), G.catalogue(provinces, districts, wards))
+    got = {r.row_id: (r.province, r.district, r.ward) for r in found.collect()}
+    none = (None, None, None)
+    assert got == {1: ("p2", "d1", "w1"), 2: ("p2", "d1", "w1"), 3: ("p2", "d3", "w3"), 4: none, 5: ("p1", "d2", "w4"), 6: none, 7: none, 8: ("p1", None, None), 9: ("p2", "d1", None)}
+
+
 def test_delimited(spark, tmp_path):
     path = tmp_path / "rows.csv"
     path.write_text('Địa chỉ;Phường/Xã;Quận/Huyện;Tỉnh/Thành;Ghi chú\n"1 A;B";P1;Q1;T1;x\n2 C\n', encoding="utf-8")
