@@ -8,6 +8,7 @@ from ..functions import address as D
 from ..functions import segments as S
 from ..functions import text as T
 from ..operators import admin as A
+from ..operators import exchange as X
 from ..operators import gazetteer as G
 from ..operators import records as R
 from ..operators import review as V
@@ -414,3 +415,9 @@ def matched_units(spark, sf_dir):
     parts = [F.lit("Ấp 3"), F.concat(F.lit("thị trấn "), "s_name"), F.when(F.col("s_suppkey") % 3 != 2, F.col("n_name")), F.when(F.col("s_suppkey") % 3 != 1, F.col("r_name"))]
     records = rows.select(F.col("s_suppkey").alias("row_id"), F.concat_ws(", ", *parts).alias("text"))
     return G.matched_units(records, G.catalogue(*_units(spark, sf_dir)))
+
+
+@query(f"""SELECT * FROM (SELECT p_partkey AS row_id, p_name AS raw, CASE WHEN p_partkey % 10 = 9 THEN 'Trùng lặp với dòng ' || (p_partkey - 1) || ' (cùng địa chỉ và 3 cột hành chính)'
+  WHEN p_partkey % 3 = 0 THEN '{V.NO_DETAIL}' || CASE WHEN {_sql_flag("LLM_SKIPPED_QUOTA")} THEN '{V.NOT_ASKED}' ELSE '' END END AS reason FROM part) WHERE reason IS NOT NULL""")
+def dropped_rows(spark, sf_dir):
+    return X.dropped_table(_results(spark, sf_dir), model_on=True)
