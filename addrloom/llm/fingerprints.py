@@ -93,9 +93,14 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, words: int = WORDS) ->
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
-    """(key, text) of docs: key = (doc_id, a hash of the text), which tells rows with one doc_id, or without, apart."""
+    """(key, text) of docs: key = (doc_id, a hash of the text), which tells rows with one doc_id, or without, apart.
+
+    The cast lets the hash be null, as in a table read back: else a join casts the key itself, and what follows the join
+    no longer counts as dealt by key, so that all terms are shuffled once more.
+    """
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return plain.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("key"), "text")
+    key = F.struct("doc_id", F.xxhash64("text").alias("hash"))
+    return plain.select(key.cast(f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},hash:bigint>").alias("key"), "text")
 
 
 def repeated(rows: DataFrame) -> DataFrame:

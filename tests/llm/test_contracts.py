@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -84,6 +85,22 @@ def test_fingerprints_of_repeated_and_null_ids(spark):
     assert fingerprints.edited_pairs(df.limit(0), samples=8).count() == 0
 
 
+def test_fingerprints_shuffle_no_terms(spark, monkeypatch):
+    plans, write = [], common.materialize
+
+    def seen(df, label):
+        if label != "fingerprints":
+            return write(df, label)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(common, "materialize", seen)
+    docs = spark.createDataFrame([(i, f"one two three {i}") for i in range(9)], "doc_id long, text string")
+    with pytest.raises(StopIteration):
+        fingerprints.edited_pairs(docs)
+    assert "hashpartitioning(key" in plans[0] and not re.search(r"hashpartitioning\([^)]*term", plans[0])
+
+
 def test_fingerprints_estimate_weighted_jaccard(spark):
     """The share of equal samples against the generalised Jaccard similarity of word-pair counts, within 4 standard errors."""
     dice, samples = random.Random(5), 48
