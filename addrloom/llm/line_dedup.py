@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDITS, MIN_CHARS, MOST = 3, 1, 48
+INDEX_WORDS = 1 << 20  # of the bitmap of indexed segments: 8 MB; beyond some 50 million distinct lines it keeps little out
 LINK_CHARS = 12  # of the shorter line, for each edit of a link: in less, one edit makes another word
 
 
@@ -44,16 +45,18 @@ def allowed(size: Column, edits: int) -> Column:
     return F.least(F.floor(size / LINK_CHARS).cast("int"), F.lit(edits))
 
 
-def segments(lines: DataFrame, edits: int) -> DataFrame:
-    """lines(..., size) with a row for every segment that a line indexes (own) or looks up.
+def segments(lines: DataFrame, edits: int, only_own: bool = False) -> DataFrame:
+    """lines(..., size) with a row for every segment that a line indexes (own) or looks up; only_own: for those it indexes.
 
     Adds most, whole, i, start and width: segment i of lines of `whole` characters, where `most` edits are allowed (or
     as many as a column k says), begins after `start` characters. The looked-up places are exploded as a literal, so that
     one short generated expression serves them all.
     """
-    every = [(most, *probe) for most in range(1, edits + 1) for probe in probes(most)]
+    every = [(most, *probe) for most in range(1, edits + 1) for probe in probes(most) if not only_own or probe[0] == probe[2] == 0]
     names = ("most", "less", "i", "offset")
-    each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, probe, strict=True)]) for probe in every])
+    literal = lambda some: F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, probe, strict=True)]) for probe in some])
+    long = F.col("k") == edits if "k" in lines.columns else F.col("size") >= (LINK_CHARS + 1) * edits  # no shorter line has fewer edits
+    each = F.when(long, literal([probe for probe in every if probe[0] == edits])).otherwise(literal(every))
     rows = lines.withColumn("_x", F.explode(each)).select(*lines.columns, "_x.*").withColumn("whole", F.expr("size - less"))
     rows = rows.where(F.col("most") == (F.col("k") if "k" in lines.columns else allowed(F.col("whole"), edits)))
     # the last whole % (most + 1) segments have one character more
@@ -147,10 +150,12 @@ def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFr
     keyed = lines.select(F.xxhash64("line").alias("id"), "line").dropDuplicates(["id"])  # copies are one line from here on
     keyed = materialize(keyed, "distinct")
     sized = keyed.withColumn("size", F.char_length("line"))
+    # what is looked up but nowhere indexed mostly stays behind; the rest is shuffled once, for the groups and their members
     signed = segments(sized, edits).select("id", signature("line").alias("sig"), "own")
+    signed = only_near(signed, "sig", segments(sized, edits, only_own=True).select(signature("line").alias("sig")), INDEX_WORDS)
+    signed = signed.repartition(F.col("sig"))
     shared = signed.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own"))
-    shared = materialize(shared.where("low < high and own").select("sig"), "segments")
-    members = only_near(signed, "sig", shared).join(shared, "sig").groupBy("sig", "id").agg(F.max("own").alias("own"))
+    members = signed.join(shared.where("low < high and own").select("sig"), "sig").groupBy("sig", "id").agg(F.max("own").alias("own"))
     members = materialize(members, "members")
     size = members.groupBy("sig").agg(F.count("*").alias("size"))
     pairs = materialize(met(members.join(size.where(F.col("size") <= most), "sig")), "pairs")

@@ -241,3 +241,26 @@ def test_near_copies_keep_rows_without_an_id(spark):
     df = frame(spark, [(1, text, 0, ""), (2, text, 0, ""), (None, text, 0, ""), (None, None, 0, "")])
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
     assert sorted(got, key=str) == sorted([(1, text), (None, text), (None, None)], key=str)
+
+
+def test_what_no_line_indexes_is_not_shuffled(spark, monkeypatch):
+    from addrloom.llm import common
+
+    class Seen(Exception):
+        pass
+
+    write = common.materialize
+
+    def seen(df, label):
+        if label == "distinct":
+            return write(df, label)
+        raise Seen(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(common, "materialize", seen)
+    lines = spark.createDataFrame([(" ".join(WORDS) + str(i),) for i in range(9)], "line string")
+    with pytest.raises(Seen) as found:
+        line_dedup.line_links(lines)
+    plan = str(found.value)
+    assert plan.index("hashpartitioning(sig") < plan.index("BroadcastHashJoin [_word") < plan.index("Generate explode")
+    own = line_dedup.segments(lines.withColumn("size", F.char_length("line")), 3, only_own=True)
+    assert own.where("own").count() == own.count() == 9 * 4
