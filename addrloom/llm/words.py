@@ -10,13 +10,28 @@ def take_over(name: str, clear) -> None:
     """Say that this worker process now serves operator `name`, whose caches `clear` empties.
 
     Workers are used again by later jobs: when another operator takes over, the caches of the one before are emptied,
-    so that a process holds one operator's words at a time.
+    so that a process holds one operator's words at a time, and what they freed goes back to the system.
     """
     if _holder[0] not in (None, name):
         _holder[1]()
+        give_back()
     _holder[:] = [name, clear]
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system, which the allocators would keep for later."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 class WordCache:
     """Two generations of at most `limit` words each: words seen again move to the young one, the old one is dropped.
 

@@ -3,8 +3,11 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -190,3 +193,19 @@ def test_tables_live_as_long_as_their_owner(spark):
     assert free.count() == 3
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
         kept.count()
+
+
+def test_a_worker_returns_the_memory_of_the_operator_before():
+    code = """
+from addrloom.llm import words
+rss = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) // 1024
+import pyarrow
+before = rss()
+held = [bytes(1000) for _ in range(100_000)]
+last = bytes(1000)
+words.take_over("one", held.clear)
+full = rss()
+words.take_over("two", held.clear)
+assert full - before > 80 and rss() - before < 40, (before, full, rss())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60, cwd=os.path.dirname(os.path.dirname(packing.__file__)) + "/..")
