@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDITS, MIN_CHARS, MOST = 3, 1, 48
-INDEX_WORDS = 1 << 20  # of the bitmap of indexed segments: 8 MB; beyond some 50 million distinct lines it keeps little out
+INDEX_WORDS = 1 << 20  # of the bitmap of indexed segments, 40 MB as a broadcast table; beyond some 25 million distinct lines it keeps little out
 LINK_CHARS = 12  # of the shorter line, for each edit of a link: in less, one edit makes another word
 
 
