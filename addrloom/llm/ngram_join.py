@@ -8,10 +8,11 @@ the probe's class already, so a group of near copies costs one comparison a memb
 Blocks. A pair at similarity t of sizes up to N differs in at most D = floor(2 N (1 - t) / (1 + t)) n-grams, so all but
 D of m > D ranges of the global order hold the same n-grams in both. Each set emits a signature of every non-empty
 range, for its own band of sizes and for the next (a linked pair lies in one band or two neighbours); m is D and as many
-more as large sets leave empty, and the rare sets whose equal ranges might all be empty share one more signature. Sets
-of up to SMALL n-grams, or with too few for the ranges, emit the n-grams of their prefix (the first n - ceil(t n) + 1 in the order) instead.
+more as large sets leave empty, as far as ranges stay filled. The rare sets whose equal ranges might all be empty also
+emit the n-grams of their prefix (the first n - ceil(t n) + 1 in the order).
 
-Documents that merely hold the same passage share a signature now and then. So sets that share many are tied first; a
+Documents that merely hold the same passage share a signature now and then. So sets that share many (STRONG_LEAST or more, as
+one of a short text's few says little) are tied first; a
 signature that still spans several of those ties compares its sets by parity bitmaps of their n-grams (bits that differ
 never outnumber the n-grams that do) and ties only those which may be linked. Ties, chained, make the blocks. A block of more than `block_ngrams` n-grams is cut: each part is
 joined, one set of every class found meets the others', and at last all sets outside the largest class meet every part.
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 
 from .words import take_over
 
-BLOCK_NGRAMS, SMALL = 1_500_000, 40
+BLOCK_NGRAMS = 1_500_000
 SETS = "doc_id long, n long, hi long, lo long, bits binary, sigs array<long>"
 STRONG = 8  # sets that share one in so many of their signatures are tied without a look at their bitmaps
+STRONG_LEAST = 3  # signatures
 LEAST_BITS, MOST_BITS = 64, 8192
 GROUP_SETS = 20_000  # a signature of more sets ties them all: their blocks are cut and joined exactly
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
@@ -179,25 +181,28 @@ class Bands:
         return int(total * (1 - self.t) / (1 + self.t))
 
     def ranges(self, band: int) -> int:
-        """How many ranges the sets of a window (larger set in `band`) are cut into; 0: equal sets only; -1: prefixes.
+        """How many ranges the sets of a window (larger set in `band`) are cut into; 0: equal sets only.
 
-        Beyond the D ranges that may differ, there are as many more as the largest sets are likely to leave empty.
+        Beyond the D ranges that may differ, there are as many more as the largest sets are likely to leave empty, where
+        that adds at most half as many; else fewer, and sets with more empty ranges emit their prefix as well.
         """
         if band not in self.cuts:
             while len(self.starts) <= band + 1:
                 self.starts.append(int(self.starts[-1] / self.t) + 1)
             top = self.starts[band + 1] - 1
-            differ, more = self.differ(2 * top), 1
-            if not differ or top <= SMALL:
-                self.cuts[band] = -1 if differ else 0
-            else:
-                while True:
-                    m = differ + 1 + more
-                    empty = m * (1 - 1 / m) ** top
-                    if more >= empty + 6 * math.sqrt(empty) + 1 or 2 * more > differ:
-                        break
-                    more += 1
-                self.cuts[band] = m if 2 * more <= differ else -1  # few n-grams a range: prefixes
+            differ = self.differ(2 * top)
+
+            def fewest(enough) -> int | None:
+                for more in range(differ // 2 + 1):
+                    empty = (differ + 1 + more) * (1 - 1 / (differ + 1 + more)) ** top
+                    if enough(more, empty):
+                        return more
+                return None
+
+            more = fewest(lambda more, empty: more >= empty + 6 * math.sqrt(empty) + 1)
+            if more is None:
+                more = fewest(lambda more, empty: more + 0.5 >= empty + 3 * math.sqrt(empty))
+            self.cuts[band] = differ + 1 + (differ // 2 if more is None else more) if differ else 0
         return self.cuts[band]
 
     def signatures(self, ordered):
@@ -208,17 +213,15 @@ class Bands:
         for window in (band, band + 1):
             m = self.ranges(window)
             salt = np.uint64((window + 1) * _MIX[2] % 2**64)
-            if m < 0:
-                prefix = size - math.ceil(self.t * size) + 1
-                out.append(_mixed(ordered[:prefix] + salt))
-            elif m:
+            if m:
                 at = ((ordered >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
                 first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
                 full = at[first]
                 out.append(_mixed(np.add.reduceat(ordered, first) + _mixed(full * np.uint64(_MIX[5]) + salt)))
                 partner = min(self.starts[window + 1] - 1, int(size / self.t))
                 if m - len(full) >= m - self.differ(size + partner):  # its equal ranges may all be empty
-                    out.append(_mixed(np.array([salt], np.uint64)))
+                    prefix = size - math.ceil(self.t * size) + 1
+                    out.append(_mixed(ordered[:prefix] + salt))
         return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -396,7 +399,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     held = only_near(signed, "sig", shared.select("sig"), 2 * BITMAP_WORDS).join(shared, "sig").distinct()
     held = materialize(held, "held")
     often = held.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("common"), F.max("own").alias("own"))
-    strong = materialize(often.where(F.col("common") * STRONG >= F.col("own")).select(F.col("id").alias("src"), F.col("leader").alias("dst")), "strong")
+    strong = materialize(often.where((F.col("common") >= STRONG_LEAST) & (F.col("common") * STRONG >= F.col("own"))).select(F.col("id").alias("src"), F.col("leader").alias("dst")), "strong")
     tied = star_fold(strong).withColumnRenamed("node", "id")
     spread = held.select("sig", "id").join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = spread.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_sets")).where("_a < _b")

@@ -264,3 +264,44 @@ def test_what_no_line_indexes_is_not_shuffled(spark, monkeypatch):
     assert plan.index("hashpartitioning(sig") < plan.index("BroadcastHashJoin [_word") < plan.index("Generate explode")
     own = line_dedup.segments(lines.withColumn("size", F.char_length("line")), 3, only_own=True)
     assert own.where("own").count() == own.count() == 9 * 4
+
+
+def test_linked_short_sets_share_a_signature():
+    import numpy as np
+
+    dice = np.random.default_rng(5)
+    for threshold in (Fraction(9, 10), Fraction(4, 5)):
+        bands, seen = ngram_join.Bands(threshold), 0
+        for _ in range(6000):
+            size = int(dice.integers(1, 130))
+            one = np.unique(dice.integers(0, 2**64, size, dtype=np.uint64))
+            changed = int(dice.integers(0, size // 4 + 2))
+            other = np.unique(np.concatenate((one[changed:] if size % 2 else one, dice.integers(0, 2**64, changed, dtype=np.uint64))))
+            if set(one) != set(other) and len(np.intersect1d(one, other)) >= threshold * len(np.union1d(one, other)):
+                seen += 1
+                assert np.intersect1d(bands.signatures(one), bands.signatures(other)).size
+        assert seen > 500
+
+
+def test_short_texts_of_one_phrase_make_no_block(spark, monkeypatch):
+    """Short texts that share a phrase, and no others, are not compared; a near copy among them still is."""
+    import random
+
+    from addrloom.llm import common
+
+    write, blocks = common.materialize, []
+
+    def seen(df, label):
+        out = write(df, label)
+        if label == "members":
+            blocks.extend(r["count"] for r in out.groupBy("block").count().collect())
+        return out
+
+    monkeypatch.setattr(common, "materialize", seen)
+    dice = random.Random(3)
+    texts = [[f"w{dice.randrange(10**6)}" for _ in range(22)] for _ in range(400)]
+    texts = [t[: i % 20] + "all rights are reserved by us".split() + t[i % 20 :] for i, t in enumerate(texts)]
+    texts.append([*texts[7], "more"])
+    got = ngram_join.jaccard_components(frame(spark, [(i, " ".join(t), 0, "") for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {**{i: i for i in range(400)}, 400: 7}
+    assert max(blocks) < 10
