@@ -9,8 +9,8 @@ decodes to the very text.
 The draws depend on the seed, the document id and the unit's place in the text, so every occurrence of a unit has its
 own. They are drawn as gaps: how many candidates are kept before the next one is skipped has the geometric law that
 separate draws would give. What a unit becomes depends on its gaps alone, so a bounded cache holds, for each unit, a
-tree of the segmentations that occurred, one branch for each gap; a new branch replays the agenda. One map over whole
-texts; no shuffle.
+tree of the segmentations that occurred, one branch for each gap; a new branch replays the agenda. New nodes of one
+batch are segmented together, one merge of each at a time, in arrays of symbols. One map over whole texts; no shuffle.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from .words import take_over
 MARK = "▁"
 DROPOUT, SEED = 0.1, 17
 SCANNED = 24  # characters of a unit that is segmented without a heap
+TOGETHER = 32  # units or more are segmented in arrays
 MAX_UNIT = 200  # characters; longer units are segmented anew each time
 _UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+_NEVER = 2**31 - 1
 _STANDIN = "\udc80"  # in place of a mark that the text itself holds; no text of UTF-8 has a lone surrogate
 
 
@@ -55,8 +57,143 @@ class Codec:
                 self.out.append(piece.replace(MARK, " ").encode())
         self.score = {piece: score for piece, (score, _) in self.rank.items()}
         self.limit = limit
+        self._tables()
         self.forget()
 
+    def _tables(self) -> None:
+        """Symbols (pieces) as numbers, the symbol of each character, and for each pair that merges its order and result."""
+        import numpy as np
+
+        pieces = sorted(self.rank, key=lambda piece: self.rank[piece][0])
+        symbol = {piece: at for at, piece in enumerate(pieces)}
+        self.symbol_id = np.array([self.rank[piece][1] for piece in pieces], np.uint32)
+        self.none = len(pieces)  # no symbol
+        self.char_symbol = np.full(0x110000, self.none, np.int32)
+        for piece, at in symbol.items():
+            if len(piece) == 1:
+                self.char_symbol[ord(piece)] = at
+        # symbols of one score have one order: the leftmost goes first
+        scores = np.array([self.rank[piece][0] for piece in pieces])
+        self.order = np.concatenate(([0], np.cumsum(scores[1:] != scores[:-1]))).astype(np.int32) if pieces else np.empty(0, np.int32)
+        self.order = np.append(self.order, np.int32(_NEVER))
+        pairs = {}
+        for piece, at in symbol.items():
+            for cut in range(1, len(piece)):
+                left, right = symbol.get(piece[:cut]), symbol.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left * (self.none + 1) + right] = at
+        keys = sorted(pairs)
+        # open addressing, so that a look-up touches one or two places
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.pair_key = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.pair_symbol = np.full(len(self.pair_key), self.none, np.int32)
+        left = np.array(keys, np.int64)
+        slot = self._slot(left)
+        while len(left):
+            free = self.pair_key[slot] < 0
+            self.pair_key[slot[free]] = left[free]
+            stays = self.pair_key[slot] != left  # another pair has the place
+            done = ~stays
+            self.pair_symbol[slot[done]] = [pairs[key] for key in left[done].tolist()]
+            left, slot = left[stays], (slot[stays] + 1) & (len(self.pair_key) - 1)
+
+    def _slot(self, keys):
+        import numpy as np
+
+        return ((keys.astype(np.uint64) * np.uint64(_STEP)) >> self.shift).astype(np.int64)
+
+    def _merged(self, left, right):
+        """The symbol that each pair of symbols merges to, or none."""
+        import numpy as np
+
+        keys = left.astype(np.int64) * (self.none + 1) + right
+        slot = self._slot(keys)
+        held = self.pair_key[slot]
+        out = np.where(held == keys, self.pair_symbol[slot], np.int32(self.none))
+        further = np.flatnonzero((held != keys) & (held >= 0))
+        while len(further):
+            slot[further] = (slot[further] + 1) & (len(self.pair_key) - 1)
+            held = self.pair_key[slot[further]]
+            hit = held == keys[further]
+            out[further[hit]] = self.pair_symbol[slot[further[hit]]]
+            further = further[~hit & (held >= 0)]
+        return out
+
+    def together(self, units: list[str], gaps) -> list[tuple[bytes, int]]:
+        """(ids, candidates after the last skipped one) of each unit, as by segment; gaps: a row for each, all of one length."""
+        import numpy as np
+
+        sizes = np.array(list(map(len, units)), np.int64)
+        symbols = self.char_symbol[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.cumsum(sizes) - sizes
+        fit = (sizes > 0) & (sizes <= SCANNED)
+        fit[np.repeat(np.arange(len(units)), sizes)[symbols == self.none]] = False
+        out: list = [None] * len(units)
+        for at in np.flatnonzero(~fit).tolist():
+            pieces, rest = self.segment(units[at], gaps[at].tolist())
+            out[at] = self.ids_of(pieces), rest
+        chosen = np.flatnonzero(fit)
+        widths = -(-sizes[chosen] // 8) * 8
+        for width in np.unique(widths).tolist():  # units of about one length fill a rectangle
+            rows = chosen[widths == width]
+            held = np.arange(width) < sizes[rows][:, None]
+            parts = np.full((len(rows), width), self.none, np.int32)
+            parts[held] = symbols[(starts[rows][:, None] + np.arange(width))[held]]
+            flat, counts, rest = self._rectangle(parts, held, gaps[rows])
+            ends = (np.cumsum(counts) * 4).tolist()
+            begin = 0
+            for at, end, left in zip(rows.tolist(), ends, rest.tolist(), strict=True):
+                out[at] = flat[begin:end], left
+                begin = end
+        return out
+
+    def _rectangle(self, parts, alive, gaps):
+        """The ids of rows of symbols (alive: not only padding), how many each row has, and the candidates after each row's last skipped one."""
+        import numpy as np
+
+        many, size = parts.shape
+        skips = gaps.shape[1]
+        gaps = np.concatenate((gaps, np.full((many, 1), -1, np.int64)), axis=1)
+        alive = np.pad(alive, ((0, 0), (0, 1)))
+        since, turn, to_skip = np.zeros(many, np.int64), np.zeros(many, np.int64), gaps[:, 0].copy()
+        none = self.none
+        # column `size` is the end of a row: no symbol, and a place for what has no neighbour
+        parts = np.concatenate((parts, np.full((many, 1), none, np.int32)), axis=1)
+        result = np.full((many, size + 1), none, np.int32)  # of the pair that begins at a place
+        result[:, : size - 1] = self._merged(parts[:, : size - 1].ravel(), parts[:, 1:size].ravel()).reshape(many, size - 1)
+        order = self.order[result]
+        after = np.tile(np.minimum(np.arange(1, size + 2), size), (many, 1))
+        before = np.tile(np.concatenate((np.arange(-1, size - 1), [-1])), (many, 1))
+        rows = np.arange(many)
+        while len(rows):
+            i = order[rows].argmin(axis=1)
+            due = order[rows, i] < _NEVER
+            rows, i = rows[due], i[due]
+            skipped = to_skip[rows] == 0
+            gone, place = rows[skipped], i[skipped]
+            if len(gone):
+                order[gone, place] = _NEVER
+                turn[gone] += 1
+                to_skip[gone] = gaps[gone, np.minimum(turn[gone], skips)]
+                since[gone] = 0
+            r, i = rows[~skipped], i[~skipped]
+            to_skip[r] -= 1
+            since[r] += 1
+            j = after[r, i]
+            parts[r, i] = joined = result[r, i]
+            alive[r, j] = False
+            order[r, j] = _NEVER
+            k = after[r, j]
+            after[r, i] = k
+            before[r, k] = i
+            result[r, i] = new = self._merged(joined, parts[r, k])
+            order[r, i] = self.order[new]
+            inner = before[r, i] >= 0
+            r, joined, h = r[inner], joined[inner], before[r, i][inner]
+            result[r, h] = new = self._merged(parts[r, h], joined)
+            order[r, h] = self.order[new]
+        return self.symbol_id[parts[alive]].tobytes(), alive.sum(axis=1), since
+
     def forget(self) -> None:
         """Empty the cache. A node is a unit with the gaps of its skipped candidates; a unit's root has none."""
         from array import array
@@ -142,16 +279,18 @@ class Codec:
                 ids.extend(self.bytes_at[b] for b in p.replace(_STANDIN, MARK).encode())
         return array("I", ids).tobytes()
 
-    def node(self, unit: str, parent: int = -1, gap: int = 0) -> int:
-        """A new node: the unit's root, or the branch of `parent` for one more gap."""
-        gaps, at = [gap] if parent >= 0 else [], parent
-        while at >= 0 and self.parent[at] >= 0:
-            gaps.append(self.gap[at])
-            at = self.parent[at]
-        pieces, rest = self.segment(unit, reversed(gaps))
+    def node(self, unit: str, parent: int = -1, gap: int = 0, made: tuple[bytes, int] | None = None) -> int:
+        """A new node: the unit's root, or the branch of `parent` for one more gap; made: its ids and its rest, if known."""
+        if made is None:
+            gaps, at = [gap] if parent >= 0 else [], parent
+            while at >= 0 and self.parent[at] >= 0:
+                gaps.append(self.gap[at])
+                at = self.parent[at]
+            pieces, rest = self.segment(unit, reversed(gaps))
+            made = self.ids_of(pieces), rest
         new = len(self.ids)
-        self.ids.append(self.ids_of(pieces))
-        self.rest.append(rest)
+        self.ids.append(made[0])
+        self.rest.append(made[1])
         self.parent.append(parent)
         self.gap.append(gap)
         if parent < 0:
@@ -166,12 +305,12 @@ class Codec:
 
         if len(self.ids) > self.limit:
             self.forget()
-        long = {}
-        for u in set(units).difference(self.root):
-            if len(u) <= MAX_UNIT:
-                self.node(u)
-            else:
-                long[u] = -1
+        fresh = [u for u in dict.fromkeys(units) if u not in self.root]
+        long = dict.fromkeys((u for u in fresh if len(u) > MAX_UNIT), -1)
+        fresh = [u for u in fresh if u not in long]
+        made = self.together(fresh, np.empty((len(fresh), 0), np.int64)) if len(fresh) >= TOGETHER else [None] * len(fresh)
+        for u, ready in zip(fresh, made, strict=True):
+            self.node(u, made=ready)
         if long:
             empty = self.root[""] if "" in self.root else self.node("")
             at = np.array([self.root.get(u, empty) for u in units], np.int64)
@@ -179,17 +318,21 @@ class Codec:
             at = np.array(list(map(self.root.__getitem__, units)), np.int64)
         if dropout:
             due, turn = np.arange(len(units)), 0
+            drawn = np.empty((len(units), 0), np.int64)  # the gaps of all turns so far
             while len(due):
                 gaps = gaps_of(first[due], turn, dropout)
                 more = gaps < np.frombuffer(self.rest, np.int32)[at[due]]
                 due, gaps = due[more], gaps[more]
+                drawn = np.concatenate((drawn[more], gaps[:, None]), axis=1)
                 keys = (at[due] << 8 | gaps).tolist()
                 found = list(map(self.branch.get, keys))
                 if None in found:
-                    for k, (key, node) in enumerate(zip(keys, found, strict=True)):
-                        if node is None:
-                            known = self.branch.get(key)
-                            found[k] = self.node(units[due[k]], key >> 8, key & 255) if known is None else known
+                    new = {key: k for k, (key, node) in enumerate(zip(keys, found, strict=True)) if node is None}
+                    which = list(new.values())
+                    made = self.together([units[u] for u in due[which].tolist()], drawn[which]) if len(new) >= TOGETHER else [None] * len(new)
+                    for (key, k), ready in zip(new.items(), made, strict=True):
+                        self.node(units[due[k]], key >> 8, key & 255, ready)
+                    found = list(map(self.branch.__getitem__, keys))
                 at[due] = found
                 turn += 1
         out = list(map(self.ids.__getitem__, at.tolist()))
@@ -270,7 +413,7 @@ def _encode_rows(path: str, dropout: float, seed: int):
         take_over("sentencepiece", codec.cache_clear)
         own = codec(path)
         for batch in batches:
-            for rows in grouped(batch):
+            for rows in grouped(batch, 500_000):
                 ids = own.encode_texts([t for _, t in rows], seed, [k for k, _ in rows], dropout)
                 keys = pa.array([k for k, _ in rows], batch.column(0).type)
                 yield pa.record_batch([keys, pa.array(ids, pa.binary()), pa.array([own.decode(x) == t for x, (_, t) in zip(ids, rows, strict=True)])], names=["doc_id", "ids", "lossless"])

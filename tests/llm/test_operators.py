@@ -305,3 +305,23 @@ def test_short_texts_of_one_phrase_make_no_block(spark, monkeypatch):
     got = ngram_join.jaccard_components(frame(spark, [(i, " ".join(t), 0, "") for i, t in enumerate(texts)])).collect()
     assert {r.doc_id: r.component_id for r in got} == {**{i: i for i in range(400)}, 400: 7}
     assert max(blocks) < 10
+
+
+def test_new_units_of_a_batch_are_segmented_together(monkeypatch):
+    import random
+
+    import numpy as np
+
+    own, dice = Codec(public_tokenizers.path("piece_bpe_32k.model")), random.Random(9)
+    units = ["", "a", "▁", "日本語é", "\udc80x", "x" * 24, "aaaaaaaa", "y" * 40]
+    units += ["▁" * dice.randrange(2) + "".join(dice.choice("etaoinshrdlu0é") for _ in range(dice.randrange(1, 30))) for _ in range(600)]
+    for turns in (0, 1, 3):
+        gaps = np.array([[dice.randrange(5) for _ in range(turns)] for _ in units], np.int64).reshape(len(units), turns)
+        for unit, row, (ids, rest) in zip(units, gaps.tolist(), own.together(units, gaps), strict=True):
+            pieces, left = own.segment(unit, row)
+            assert (ids, rest) == (own.ids_of(pieces), left)
+    calls, segment = [], Codec.segment
+    monkeypatch.setattr(Codec, "segment", lambda self, *args: calls.append(1) or segment(self, *args))
+    texts = [" ".join("".join(dice.choice("etaoinshr") for _ in range(7)) for _ in range(400)) for _ in range(5)]
+    assert [own.decode(x) for x in own.encode_texts(texts, 5, [1, 2, 3, 4, 5], 0.1)] == texts
+    assert len(calls) < 200
