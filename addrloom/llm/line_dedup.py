@@ -12,7 +12,9 @@ around every window of k characters, and every string that lacks one of its char
 outside one window are all linked, so a star does; a line that equals another's shortened string is linked with it. That
 costs a line's length in rows, and with one edit it finds every link. With more, groups that these links have not made
 one class are split again by the segments of what surrounds the shared one (a pair within k edits shares one of those as
-well), and lines of different classes that still meet are compared: all of them, however many.
+well), and lines of different classes that still meet are compared: all of them, however many. Their join looks at
+parity marks of their bigrams first, which an edit changes in at most 4 places, and makes a row only of those which may be
+linked; looking at them still takes time with the square of such a group.
 Links make classes (connected components); a class keeps its first line, by document id and line number.
 """
 
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 EDITS, MIN_CHARS, MOST = 3, 1, 48
 INDEX_WORDS = 1 << 20  # of the bitmap of indexed segments, 40 MB as a broadcast table; beyond some 25 million distinct lines it keeps little out
+MARKS = 4  # slots of the marks that an edit may change
 LINK_CHARS = 12  # of the shorter line, for each edit of a link: in less, one edit makes another word
 
 
@@ -128,13 +131,30 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
     return near.where(within(*sides, edits, F.col("k"))).select("src", "dst")
 
 
-def met(members: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of members(sig, id, own, ...) with one sig, where src owns it; columns group: of different groups only."""
+def marks(lines: DataFrame) -> DataFrame:
+    """lines(..., line) with even and odd: which of 128 slots hold an odd number of the line's bigrams.
+
+    A replaced character takes two bigrams and brings two, one put in or left out changes three: at most MARKS slots an edit.
+    """
+    nothing = F.lit(0).cast("long")
+    bigrams = F.transform(F.sequence(F.lit(1), F.char_length("line")), lambda at: F.xxhash64(F.substr(F.col("line"), at, F.lit(2))))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(63)).cast("int"))
+    held = lambda side: F.aggregate("_bigrams", nothing, lambda all, h: all.bitwiseXOR(F.when(h.bitwiseAND(F.lit(1)) == side, bit(h)).otherwise(nothing)))
+    return lines.withColumn("_bigrams", bigrams).withColumn("even", held(0)).withColumn("odd", held(1)).drop("_bigrams")
+
+
+def met(members: DataFrame, edits: int | None = None) -> DataFrame:
+    """Pairs (src, dst) of members(sig, id, own, ...) with one sig, where src owns it; columns group: of different groups only.
+
+    edits: members have marks, and pairs whose marks rule out so few edits are left out.
+    """
     apart = "src <> dst and (not both or src < dst)"
     extra = ["group"] if "group" in members.columns else []
-    own = members.where("own").select("sig", F.col("id").alias("src"), *[F.col(c).alias("g") for c in extra])
-    other = members.select("sig", F.col("id").alias("dst"), F.col("own").alias("both"), *[F.col(c).alias("h") for c in extra])
-    return own.join(other, "sig").where(apart + (" and g <> h" if extra else "")).select("src", "dst").distinct()
+    seen = ["even", "odd"] if edits else []
+    own = members.where("own").select("sig", F.col("id").alias("src"), *[F.col(c).alias("g") for c in extra], *[F.col(c).alias(f"{c}_a") for c in seen])
+    other = members.select("sig", F.col("id").alias("dst"), F.col("own").alias("both"), *[F.col(c).alias("h") for c in extra], *[F.col(c).alias(f"{c}_b") for c in seen])
+    alike = f" and bit_count(even_a ^ even_b) + bit_count(odd_a ^ odd_b) <= {MARKS * edits}" if edits else ""
+    return own.join(other, "sig").where(apart + (" and g <> h" if extra else "") + alike).select("src", "dst").distinct()
 
 
 def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFrame:
@@ -191,7 +211,9 @@ def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFr
     split = segments(around.withColumn("size", F.char_length("rest")), edits).select("id", "group", signature("rest", "sig").alias("sig"), "own")
     split = materialize(split.groupBy("sig", "id", "group").agg(F.max("own").alias("own")), "split")
     mixed = split.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("own").alias("own"))
-    pairs = materialize(met(split.join(mixed.where("low < high and own").select("sig"), "sig")), "pairs")
+    marked = materialize(marks(packed).select("id", "even", "odd"), "marks")
+    split = split.join(mixed.where("low < high and own").select("sig"), "sig").join(marked, "id")
+    pairs = materialize(met(split, edits), "pairs")
     return links.union(verified(pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst"), edits)).distinct()
 
 

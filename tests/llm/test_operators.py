@@ -325,3 +325,51 @@ def test_new_units_of_a_batch_are_segmented_together(monkeypatch):
     texts = [" ".join("".join(dice.choice("etaoinshr") for _ in range(7)) for _ in range(400)) for _ in range(5)]
     assert [own.decode(x) for x in own.encode_texts(texts, 5, [1, 2, 3, 4, 5], 0.1)] == texts
     assert len(calls) < 200
+
+
+def test_marks_never_rule_out_a_link(spark):
+    import random
+
+    dice, rows = random.Random(4), []
+    for _ in range(400):
+        line = "".join(dice.choice("abcde é") for _ in range(dice.randrange(12, 60)))
+        new = list(line)
+        edits = dice.randrange(1, 4)
+        for _ in range(edits):
+            at = dice.randrange(len(new))
+            new[at : at + dice.randrange(2)] = dice.choice(["", "x", "e"])
+        rows.append((line, "".join(new), edits))
+    one = line_dedup.marks(spark.createDataFrame(rows, "line string, other string, edits int")).toDF("line", "other", "edits", "even_a", "odd_a")
+    both = line_dedup.marks(one.drop("line").withColumnRenamed("other", "line"))
+    got = both.selectExpr("edits", "bit_count(even_a ^ even) + bit_count(odd_a ^ odd) as apart").collect()
+    assert all(r.apart <= line_dedup.MARKS * r.edits for r in got) and max(r.apart for r in got) > 6
+
+
+def test_lines_of_other_words_are_not_paired(spark, monkeypatch):
+    """Copies of one line in which words differ meet in one group; the pairs written are few, and near ones still link."""
+    import random
+
+    from addrloom.llm import common
+
+    write, pairs = common.materialize, []
+
+    def seen(df, label):
+        out = write(df, label)
+        if label == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "materialize", seen)
+    dice = random.Random(8)
+    word = lambda: "".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    base, lines = [word() for _ in range(12)], []
+    for _ in range(200):
+        new = list(base)
+        for at in dice.sample(range(12), 2):
+            new[at] = word()
+        lines.append(" ".join(new))
+    lines.append("0" + lines[5][1:-1])
+    df = frame(spark, [(i, t, 0, "") for i, t in enumerate(lines)])
+    got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(df).collect()}
+    assert got == {**{i: i for i in range(200)}, 200: 5}
+    assert pairs[-1] < 200
