@@ -4,28 +4,39 @@ Two lines link within `edits` edits, but the shorter must have LINK_CHARS charac
 A line of length L within k edits of a line of length l <= L holds one of its k + 1 segments unchanged, near the place
 it had. Every line indexes its own segments under (l, segment number, hash) and probes the substrings of a longer line
 that could be such a segment, for every length from L - k to L (the offsets that two-sided counting of edits leaves).
-Lines that meet are compared after trimming their common prefix and suffix, by a banded bit-parallel automaton: 2 k + 1
-diagonals in one word for each number of edits.
+Lines that meet are compared in a few short windows, then by the built-in distance; those of more than SHORT characters
+after trimming their common prefix and suffix, by a banded bit-parallel automaton: 2 k + 1 diagonals in one word for each
+number of edits.
 
 Groups of more than `most` lines under one segment are not paired at once. Each of their lines first emits what is left
 around every window of k characters, and every string that lacks one of its characters: lines of one length that agree
 outside one window are all linked, so a star does; a line that equals another's shortened string is linked with it. That
-costs a line's length in rows, and with one edit it finds every link. With more, groups that these links have not made
-one class are split again by the segments of what surrounds the shared one (a pair within k edits shares one of those as
-well), and lines of different classes that still meet are compared: all of them, however many. Their join looks at
-parity marks of their bigrams first, which an edit changes in at most 4 places, and makes a row only of those which may be
-linked; looking at them still takes time with the square of such a group.
+costs a line's length in rows, and with one edit it finds every link. With more, lines of a group that these links have
+not made one class are compared with one line of it, the pivot: of two lines that link, each must leave the pivot's text
+before the other has gone too far from it, from the beginning as from the end. So lines meet only in the cells of that
+text (l from the beginning, r from the end) where both may part from it, one of them for the first time. More than CROWD lines of one cell are
+split again by the segments of what surrounds the shared one (a pair within k edits shares one of those as well), and
+lines of different classes that still meet are compared: all of them, however many. Both joins look at parity marks of
+their bigrams, which an edit changes in at most 4 places, and make a row only of those which may be linked.
+What is left of the square: lines of one cell, up to CROWD of them each with each, and beyond that those that also share
+a segment around.
 Links make classes (connected components); a class keeps its first line, by document id and line number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EDITS, MIN_CHARS, MOST = 3, 1, 48
 INDEX_WORDS = 1 << 20  # of the bitmap of indexed segments, 40 MB as a broadcast table; beyond some 25 million distinct lines it keeps little out
 MARKS = 4  # slots of the marks that an edit may change
+WINDOW, WINDOWS = 32, 8  # characters and number of the windows that rule out most pairs
+SHORT = 1000  # characters of the longest strings that the built-in distance compares
+CROWD = 256  # lines that part from a pivot in one cell and are compared at once; more are split again
+CELLS, LOOKS = 16, (8, 16, 32, 64, 128, 256)  # parts of a pivot's text; characters after which a line is compared with it
 LINK_CHARS = 12  # of the shorter line, for each edit of a link: in less, one edit makes another word
 
 
@@ -109,15 +120,35 @@ def within(left: Column, right: Column, n: Column, m: Column, edits: int, k: Col
     return (F.abs(n - m) <= k) & (F.call_function("shiftright", last, n - m + edits).bitwiseAND(F.lit(1)) == 1)
 
 
+def plausible(edits: int) -> Column:
+    """False only for strings a and b that more than `edits` edits part, by a look at short windows at equal places.
+
+    What a window of a is aligned with begins and ends at most `edits` characters from the window of b at its place, so
+    that one is at most 3 * edits edits away; at the common beginning, or at the common end, 2 * edits.
+    """
+    window = lambda side, at: F.substr(F.col(side), at + 1, F.lit(WINDOW))
+    near = lambda a, b, most: F.levenshtein(a, b, most) >= 0
+    last = lambda side: F.call_function("right", F.col(side), F.lit(WINDOW))
+    ends = near(window("a", F.lit(0)), window("b", F.lit(0)), 2 * edits) & near(last("a"), last("b"), 2 * edits)
+    inner = [F.expr(f"cast(char_length(a) * {i} div {WINDOWS} as int)") for i in range(1, WINDOWS)]
+    return reduce(lambda x, y: x & y, [near(window("a", at), window("b", at), 3 * edits) for at in inner], ends)
+
+
 def verified(pairs: DataFrame, edits: int) -> DataFrame:
     """The pairs (src, dst) of rows (src, dst, a, b) whose strings a and b are within the edits allowed for the shorter.
 
-    The trimmed strings are written once: a filter above them would otherwise be rewritten in terms of the whole trim.
+    The built-in distance takes time with the product of the lengths, so pairs of more than SHORT characters are trimmed
+    and run through the automaton instead. The trimmed strings are written once: a filter above them would otherwise be
+    rewritten in terms of the whole trim.
     """
     from .common import materialize
 
-    sized = pairs.withColumn("k", allowed(F.least(F.char_length("a"), F.char_length("b")), edits))
-    trimmed = sized.where("k > 0 and abs(char_length(a) - char_length(b)) <= k").withColumn("p", common_prefix(F.col("a"), F.col("b")))
+    sized = pairs.withColumn("k", allowed(F.least(F.char_length("a"), F.char_length("b")), edits)).withColumn("long", F.char_length("a") > SHORT)
+    sized = sized.where("k > 0 and abs(char_length(a) - char_length(b)) <= k").where(plausible(edits))
+    sized = sized.where(F.col("long") | F.levenshtein("a", "b", edits).between(0, F.col("k")))
+    text = lambda c: F.when(F.col("long"), F.col(c)).alias(c)
+    sized = materialize(sized.select("src", "dst", "k", "long", text("a"), text("b")), "plausible")
+    trimmed = sized.where("long").withColumn("p", common_prefix(F.col("a"), F.col("b")))
     trimmed = trimmed.select("src", "dst", "k", F.expr("substring(a, p + 1)").alias("a"), F.expr("substring(b, p + 1)").alias("b"))
     trimmed = trimmed.withColumn("s", common_prefix(F.reverse("a"), F.reverse("b")))
     trimmed = trimmed.select("src", "dst", "k", F.expr("left(a, char_length(a) - s)").alias("a"), F.expr("left(b, char_length(b) - s)").alias("b"))
@@ -128,7 +159,36 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
     sides = [F.col(c) for c in ("left", "right", "n", "m")]
     # most pairs differ early
     near = trimmed.where(within(*sides, edits, F.col("k"), 16))
-    return near.where(within(*sides, edits, F.col("k"))).select("src", "dst")
+    return sized.where("not long").select("src", "dst").union(near.where(within(*sides, edits, F.col("k"))).select("src", "dst"))
+
+
+def reach(x: str, t: str, edits: int) -> Column:
+    """(start, stop): x leaves t after `start` characters and is more than `edits` edits off any beginning of t by `stop`.
+
+    Two strings within `edits` edits, one of which equals t for the first `stop` + edits characters of the other, would
+    leave that many edits to less text than needs them; so the spans start to stop + edits - 1 of linked strings overlap.
+    stop is null where x stays near t for as far as looked. x and t are columns without their common beginning of
+    `start` characters: pass what is left of them.
+    """
+    beginning = lambda c, n: F.expr(f"left({c}, {n})")
+    near = lambda n: reduce(lambda a, b: a | b, [F.levenshtein(beginning(x, n), beginning(t, n + o), edits) >= 0 for o in range(-edits, edits + 1)])
+    return F.coalesce(*[F.when(~near(n), n) for n in LOOKS])
+
+
+def spans(lines: DataFrame, edits: int) -> DataFrame:
+    """lines(id, group, pivot, a, t) with a row for each cell (l, r) of the pivot's text t in which a may part from it.
+
+    l counts from the beginning and r from the end; begins and ends: it is the first in which a does. Lines that link
+    share a cell (l, r) in which one of them begins and one ends, and no more than one such cell.
+    """
+    rows = lines.withColumn("step", F.expr(f"char_length(t) div {CELLS} + 1"))
+    for side, turn in (("l", lambda c: F.col(c)), ("r", F.reverse)):
+        rows = rows.withColumn("x", turn("a")).withColumn("y", turn("t")).withColumn("start", common_prefix(F.col("x"), F.col("y")))
+        rows = rows.withColumn("x", F.expr("substring(x, start + 1, 300)")).withColumn("y", F.expr("substring(y, start + 1, 300)"))
+        rows = rows.withColumn("stop", F.coalesce(F.col("start") + reach("x", "y", edits) + (edits - 1), F.char_length("t")))
+        rows = rows.withColumn(side, F.expr("sequence(cast(start div step as int), cast(least(stop, char_length(t)) div step as int))"))
+    rows = rows.select("id", "group", "pivot", F.posexplode("l").alias("_l", "l"), "r").select("id", "group", "pivot", "_l", "l", F.posexplode("r").alias("_r", "r"))
+    return rows.select("id", "group", "pivot", "l", "r", F.expr("_l = 0").alias("begins"), F.expr("_r = 0").alias("ends"))
 
 
 def marks(lines: DataFrame) -> DataFrame:
@@ -146,15 +206,17 @@ def marks(lines: DataFrame) -> DataFrame:
 def met(members: DataFrame, edits: int | None = None) -> DataFrame:
     """Pairs (src, dst) of members(sig, id, own, ...) with one sig, where src owns it; columns group: of different groups only.
 
-    edits: members have marks, and pairs whose marks rule out so few edits are left out.
+    edits: members have marks, and pairs whose marks rule out so few edits are left out. Columns begins and ends: only
+    pairs of which one begins and one ends there.
     """
     apart = "src <> dst and (not both or src < dst)"
-    extra = ["group"] if "group" in members.columns else []
-    seen = ["even", "odd"] if edits else []
-    own = members.where("own").select("sig", F.col("id").alias("src"), *[F.col(c).alias("g") for c in extra], *[F.col(c).alias(f"{c}_a") for c in seen])
-    other = members.select("sig", F.col("id").alias("dst"), F.col("own").alias("both"), *[F.col(c).alias("h") for c in extra], *[F.col(c).alias(f"{c}_b") for c in seen])
-    alike = f" and bit_count(even_a ^ even_b) + bit_count(odd_a ^ odd_b) <= {MARKS * edits}" if edits else ""
-    return own.join(other, "sig").where(apart + (" and g <> h" if extra else "") + alike).select("src", "dst").distinct()
+    apart += " and group_a <> group_b" if "group" in members.columns else ""
+    apart += " and (begins_a or begins_b) and (ends_a or ends_b)" if "begins" in members.columns else ""
+    apart += f" and bit_count(even_a ^ even_b) + bit_count(odd_a ^ odd_b) <= {MARKS * edits}" if edits else ""
+    seen = [c for c in ("group", "begins", "ends", "even", "odd") if c in members.columns]
+    own = members.where("own").select("sig", F.col("id").alias("src"), *[F.col(c).alias(f"{c}_a") for c in seen])
+    other = members.select("sig", F.col("id").alias("dst"), F.col("own").alias("both"), *[F.col(c).alias(f"{c}_b") for c in seen])
+    return own.join(other, "sig").where(apart).select("src", "dst").distinct()
 
 
 def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFrame:
@@ -189,12 +251,11 @@ def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFr
     packed = texts.join(crowd, "id")
     places = packed.withColumn("at", F.explode(F.sequence(F.lit(1), F.char_length("line"))))
     parted = lambda width: [F.char_length("line").alias("size"), F.expr("left(line, at - 1)").alias("head"), F.substr("line", F.col("at") + width).alias("tail")]
-    holes = places.select("id", "at", *parted(allowed(F.char_length("line"), edits)))
-    holes = holes.select("id", F.xxhash64("size", "at", "head", "tail").alias("hole"))
-    leaders = holes.groupBy("hole").agg(F.min("id").alias("dst"), F.max("id").alias("last")).where("dst < last").select("hole", "dst")
-    swaps = holes.join(leaders, "hole").where("id <> dst").select(F.col("id").alias("src"), "dst")
-    shorter = places.where(F.char_length("line") > LINK_CHARS).select("id", *parted(F.lit(1)))
-    shorter = shorter.select("id", F.xxhash64(F.concat("head", "tail")).alias("dst")).join(crowd.select(F.col("id").alias("dst")), "dst")
+    less = parted(F.lit(1))[1:]
+    holes = places.select("id", "at", *parted(allowed(F.char_length("line"), edits)), F.xxhash64(F.concat(*less)).alias("shorter"))
+    holes = materialize(holes.select("id", F.xxhash64("size", "at", "head", "tail").alias("hole"), F.when(F.col("size") > LINK_CHARS, F.col("shorter")).alias("dst")), "holes")
+    swaps = holes.select(F.col("id").alias("src"), F.min("id").over(Window.partitionBy("hole")).alias("dst")).where("src <> dst")
+    shorter = holes.select("id", "dst").join(crowd.select(F.col("id").alias("dst")), "dst")
     shorter = shorter.where("id <> dst").select(F.col("id").alias("src"), "dst")
     links = links.union(swaps).union(shorter).distinct()
     if edits == 1:
@@ -202,18 +263,29 @@ def line_links(lines: DataFrame, edits: int = EDITS, most: int = MOST) -> DataFr
 
     links = materialize(links, "links")
     grouped = hot.join(star_fold(links).withColumnRenamed("node", "id"), "id", "left")
-    grouped = grouped.select("sig", "id", F.coalesce("component", "id").alias("group"))
-    groups = grouped.select("id", "group").distinct()
-    parts = materialize(grouped.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("sig"), "parts")
+    grouped = grouped.select("sig", "id", "own", F.coalesce("component", "id").alias("group"))
+    crowds = grouped.select("id", "group").distinct().groupBy("group").agg(F.count("*").alias("ids"))
+    # the line that stands for the largest class of a group is its pivot
+    parts = grouped.join(crowds, "group").groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max(F.struct("ids", "group")).alias("_most"))
+    parts = materialize(parts.where("low < high").select("sig", F.col("_most.group").alias("pivot")), "parts")
+    grouped = materialize(grouped.join(parts, "sig").select("sig", "id", "group", "pivot"), "grouped")
+    placed = grouped.select("id", "group", "pivot").distinct().join(side("id", "a"), "id").join(side("pivot", "t"), "pivot")
+    placed = materialize(spans(placed, edits).withColumn("part", F.xxhash64("pivot", "l", "r")), "placed")
+    mixed = placed.groupBy("part").agg(F.count("*").alias("size"), F.min("group").alias("low"), F.max("group").alias("high"))
+    mixed = materialize(mixed.where("low < high").select("part", "size"), "mixed")
+    marked = materialize(marks(packed).select("id", "even", "odd"), "marks")
+    few = placed.join(mixed.where(F.col("size") <= CROWD), "part").select(F.col("part").alias("sig"), "id", "group", F.lit(True).alias("own"), "begins", "ends")
+    pairs = met(few.join(marked, "id"), edits)
+
+    many = placed.join(mixed.where(F.col("size") > CROWD), "part").join(grouped.drop("group"), ["id", "pivot"]).select("sig", "part", "id", "group")
     around = segments(packed.withColumn("size", F.char_length("line")), edits).withColumn("sig", signature("line"))
     rest = F.expr("concat(left(line, start), substring(line, start + width + 1))")
-    around = around.select("id", "sig", F.col("most").alias("k"), rest.alias("rest")).join(parts, "sig").join(groups, "id")
-    split = segments(around.withColumn("size", F.char_length("rest")), edits).select("id", "group", signature("rest", "sig").alias("sig"), "own")
+    around = around.select("id", "sig", F.col("most").alias("k"), rest.alias("rest")).join(many, ["sig", "id"])
+    split = segments(around.withColumn("size", F.char_length("rest")), edits).select("id", "group", signature("rest", "part").alias("sig"), "own")
     split = materialize(split.groupBy("sig", "id", "group").agg(F.max("own").alias("own")), "split")
     mixed = split.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("own").alias("own"))
-    marked = materialize(marks(packed).select("id", "even", "odd"), "marks")
     split = split.join(mixed.where("low < high and own").select("sig"), "sig").join(marked, "id")
-    pairs = materialize(met(split, edits), "pairs")
+    pairs = materialize(pairs.union(met(split, edits)).distinct(), "pairs")
     return links.union(verified(pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst"), edits)).distinct()
 
 

@@ -373,3 +373,61 @@ def test_lines_of_other_words_are_not_paired(spark, monkeypatch):
     got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(df).collect()}
     assert got == {**{i: i for i in range(200)}, 200: 5}
     assert pairs[-1] < 200
+
+
+def one_place_each(dice, count):
+    """Copies of one line, each with four letters put in behind one of its words; a few of them with two edits more."""
+    letters = lambda n: "".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base, lines = [letters(dice.randrange(3, 9)) for _ in range(60)], []
+    for i in range(count):
+        new = list(base)
+        new[dice.randrange(60)] += letters(4)
+        lines.append(" ".join(new))
+        if not i % 20:
+            lines.append("0" + lines[-1][1:-1])
+    return lines
+
+
+def classes_of(spark, lines, most):
+    return {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(frame(spark, [(i, t, 0, "") for i, t in enumerate(lines)]), most=most).collect()}
+
+
+@pytest.mark.parametrize("crowd", [256, 2])
+def test_lines_that_part_in_other_places_are_not_paired(spark, monkeypatch, crowd):
+    """Lines of one hot group that part from its pivot in other cells make no pair; the classes are those of all pairs."""
+    import random
+
+    from addrloom.llm import common
+
+    lines = one_place_each(random.Random(3), 240)
+    want = classes_of(spark, lines, 10**6)
+    write, pairs = common.materialize, []
+
+    def seen(df, label):
+        out = write(df, label)
+        if label == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "materialize", seen)
+    monkeypatch.setattr(line_dedup, "CROWD", crowd, raising=False)
+    assert classes_of(spark, lines, 48) == want and len(set(want.values())) < len(lines) - 10
+    assert sum(pairs) < 6000
+
+
+def test_grossly_different_strings_are_ruled_out_by_windows(spark):
+    """No pair within the edits is ruled out, and one that differs at both ends or in the middle is."""
+    import random
+
+    dice, rows = random.Random(6), []
+    for _ in range(400):
+        line = "".join(dice.choice("abcde é") for _ in range(dice.choice([12, 30, 36, 80, 300])))
+        new, edits = list(line), dice.randrange(4)
+        for _ in range(edits):
+            at = dice.choice([0, len(new) - 1, dice.randrange(len(new))])
+            new[at : at + dice.randrange(2)] = dice.choice(["", "x", "e"])
+        rows.append((line, "".join(new), True))
+    far = "".join(dice.choice("abcdefghijklmnop") for _ in range(300))
+    rows += [(far, far[:100] + far[150:200] + far[100:150] + far[200:], False), (far, far[50:] + far[:50], False)]
+    got = spark.createDataFrame(rows, "a string, b string, near boolean").select("near", line_dedup.plausible(3).alias("kept")).collect()
+    assert all(r.near == r.kept for r in got)
