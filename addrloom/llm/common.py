@@ -100,10 +100,33 @@ def successor(keys: DataFrame, order: str, carry: Sequence[str], prefix: str = "
     return joined.select(*keys.columns, *[got[c].alias(prefix + c) for c in wanted])
 
 
+FOLD_EDGES = 1 << 18  # edges of the largest graph that the driver folds by itself, 4 MB; 0: none
+
+
+def folded(u, v):
+    """Connected components of the edges (u, v), two arrays: (nodes, the smallest node that each can reach)."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while True:
+        low = root.copy()  # of two roots with an edge between their nodes, the larger hangs below the smaller
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        if np.array_equal(low, root):
+            return nodes, nodes[root]
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        root = low
+
+
 def star_fold(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph given as edges (src, dst) of longs.
 
-    Alternates the large-star and small-star steps (each a grouped minimum that is pre-aggregated before the shuffle,
+    A graph of up to FOLD_EDGES distinct edges is folded on the driver, as a round below runs some seven times as many tasks
+    as there are shuffle partitions, however few its edges. A larger graph
+    alternates the large-star and small-star steps (each a grouped minimum that is pre-aggregated before the shuffle,
     joined back on the centre, which Spark may split when it is skewed) until every edge points at its component's
     smallest node. Each round is written to the shared folder. Returns (node, component) for nodes with an edge; self
     loops and repeated edges are harmless, no edges give no rows. Raises if `rounds` do not suffice.
@@ -111,6 +134,13 @@ def star_fold(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now = materialize(now, "edges")
+    if now.count() <= FOLD_EDGES:
+        import pyarrow as pa
+
+        got = now.toArrow()
+        nodes, components = folded(*(got.column(c).to_numpy() for c in ("u", "v")))
+        found = pa.table([pa.array(nodes, pa.int64()), pa.array(components, pa.int64())], names=["node", "component"])
+        return materialize(spark.createDataFrame(found), "components")
     before = None
     for _ in range(rounds):
         # large star: every larger neighbour of u points at the smallest of u and its neighbours

@@ -4,7 +4,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from addrloom.llm import fingerprints, line_dedup, ngram_join, packing, quality, sharding, topk, toxicity
+from addrloom.llm import common, fingerprints, line_dedup, ngram_join, packing, quality, sharding, topk, toxicity
 from addrloom.llm.sentencepiece_codec import Codec, first_draws, gaps_of
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -431,3 +431,50 @@ def test_grossly_different_strings_are_ruled_out_by_windows(spark):
     rows += [(far, far[:100] + far[150:200] + far[100:150] + far[200:], False), (far, far[50:] + far[:50], False)]
     got = spark.createDataFrame(rows, "a string, b string, near boolean").select("near", line_dedup.plausible(3).alias("kept")).collect()
     assert all(r.near == r.kept for r in got)
+
+
+def jobs_of(spark, run):
+    """What run() returns, and how many Spark jobs it took."""
+    spark.sparkContext.setJobGroup("counted", "counted")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_components_of_a_small_graph_take_few_jobs(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(-40, 40)]
+    odd = [(7, 7), (3, 2), (-(2**63), 2**63 - 1), (500, 300), (300, 900), (900, 500), (None, 1), (60, None), (70, 70)]
+    edges = spark.createDataFrame(chain + odd, "src long, dst long")
+    root = {i: -40 for i in range(-40, 41)} | {-(2**63): -(2**63), 2**63 - 1: -(2**63), 300: 300, 500: 300, 900: 300}
+    got, jobs = jobs_of(spark, lambda: common.star_fold(edges).collect())
+    assert {r.node: r.component for r in got} == root and len(got) == len(root)
+    assert jobs <= 8  # 84 in rounds
+    monkeypatch.setattr(common, "FOLD_EDGES", 0)
+    assert sorted(common.star_fold(edges).collect()) == sorted(got)
+
+
+@pytest.mark.parametrize("at_most", [0, common.FOLD_EDGES])
+def test_components_of_no_edges(spark, monkeypatch, at_most):
+    monkeypatch.setattr(common, "FOLD_EDGES", at_most)
+    assert common.star_fold(spark.createDataFrame([(5, 5)], "src long, dst long")).collect() == []
+
+
+def test_components_against_a_search(spark):
+    import numpy as np
+
+    for nodes, count in ((30, 20), (2000, 1500), (300, 3000)):
+        u, v = np.random.default_rng(nodes).integers(-nodes, nodes, (2, count))
+        near = {}
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        expected = {}
+        for start in sorted(near):
+            left = [start] if start not in expected else []
+            while left:
+                node = left.pop()
+                if expected.setdefault(node, start) == start:
+                    left.extend(x for x in near[node] if x not in expected)
+        assert dict(zip(*(x.tolist() for x in common.folded(u, v)), strict=True)) == expected
