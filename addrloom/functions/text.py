@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: what counts as a candidate phone number.
-PHONE = r"(?:\+?84|0)[\d .\-]{8,13}"
+# Fixed value: what counts as a candidate phone number; the look ahead only makes the search faster.
+PHONE = r"(?=[+08])(?:\+?84|0)[\d .\-]{8,13}"
 NORMALIZER = "com.ibm.icu.text.Normalizer"
 
 
 def strip_marks(text: Column) -> Column:
     """Without accents; đ and Đ become d and D. A null counts as ''."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "đĐ", "dD")
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("đ"), F.lit("d")), F.lit("Đ"), F.lit("D"))
     return F.regexp_replace(F.reflect(F.lit(NORMALIZER), F.lit("decompose"), plain, F.lit(False)), r"\p{Mn}", "")
 
 
